@@ -106,3 +106,14 @@ def running(df: DataFrame, keys: Sequence[str], place: str, ties: Sequence[str],
     own = F.sum(size).over(within.rowsBetween(Window.unboundedPreceding, 0)) if size else F.row_number().over(within)
     back = df.withColumn("_vx_own", own.cast("long")).join(totals, [*keys, "_vx_bucket"], "left")
     return back.withColumn(out, F.col("_vx_before") + F.col("_vx_own")).drop("_vx_bucket", "_vx_own", "_vx_before")
+
+
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, how: str = "left") -> DataFrame:
+    """:func:`salted_join` that first counts the keys of ``big`` (partial sums
+    before the shuffle). ``big`` should be a table or cheap to compute twice;
+    the pass that counts reads the key columns only."""
+    counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10_000)
+    total = big.count()
+    if total <= 10_000:
+        return big.join(small, list(on), how)
+    return salted_join(big, small, on, hot_keys(counts, total), F.col(spread), how)
