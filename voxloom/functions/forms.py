@@ -26,14 +26,25 @@ NAMES = {name: code for code, name in LANGUAGES.items()} | {code: code for code
 _NOT_BARE = r"[^\p{L}\p{M}\p{Nd}]+"
 
 
+#: Characters whose full case folding isn't their lower case (ß, ς and i are done apart).
+_FOLDS = {chr(c): chr(c).casefold() for c in range(0x80, 0x110000) if chr(c).casefold() != chr(c).lower() and chr(c) not in "İßẞς"}
+
+
+def folded(c: Column) -> Column:
+    """Letter case ignored in full: ß equals ss, ligatures their letters, final sigma
+    sigma, and dotted and dotless i are one letter."""
+    x = F.replace(F.replace(F.translate(c, "İIı", "iii"), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    table = F.create_map(*[F.lit(v) for pair in _FOLDS.items() for v in pair])
+    spelled = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    x = F.when(x.rlike("[" + "".join(_FOLDS) + "]"), spelled).otherwise(x)
+    return F.replace(F.translate(F.lower(x), "ς", "σ"), F.lit("i̇"), F.lit("i"))
+
+
 def bare(c: Column) -> Column:
     """Case folded in full and nothing but letters, digits and combining marks left.
 
-    ß equals ss; dotted and dotless i are one letter; final sigma equals sigma.
     Null stays null, text without any letter or digit becomes empty."""
-    folded = F.lower(F.upper(F.lower(F.translate(c, "İIı", "iii"))))
-    folded = F.translate(F.regexp_replace(folded, "i̇", "i"), "ς", "σ")
-    return F.regexp_replace(folded, _NOT_BARE, "")
+    return F.regexp_replace(folded(c), _NOT_BARE, "")
 
 
 def blank_to_null(c: Column) -> Column:
