@@ -30,14 +30,30 @@ _NOT_BARE = r"[^\p{L}\p{M}\p{Nd}]+"
 _FOLDS = {chr(c): chr(c).casefold() for c in range(0x80, 0x110000) if chr(c).casefold() != chr(c).lower() and chr(c) not in "İßẞς"}
 
 
+def _ranges(chars: list[int]) -> str:
+    """A regular-expression class of a few ranges that cover ``chars``: gaps under 16 are
+    filled, since a class of hundreds of single characters is slow to match."""
+    out: list[list[int]] = []
+    for c in sorted(chars):
+        if out and c - out[-1][1] < 16:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out) + "]"
+
+
+_RARE = _ranges([ord(c) for c in _FOLDS])
+
+
 def folded(c: Column) -> Column:
     """Letter case ignored in full: ß equals ss, ligatures their letters, final sigma
     sigma, and dotted and dotless i are one letter."""
-    x = F.replace(F.replace(F.translate(c, "İIı", "iii"), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("ss"))
+    swap = lambda x, a, b: F.replace(x, F.lit(a), F.lit(b))
+    x = swap(swap(swap(swap(c, "İ", "i"), "ı", "i"), "ß", "ss"), "ẞ", "ss")
     table = F.create_map(*[F.lit(v) for pair in _FOLDS.items() for v in pair])
     spelled = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
-    x = F.when(x.rlike("[" + "".join(_FOLDS) + "]"), spelled).otherwise(x)
-    return F.replace(F.translate(F.lower(x), "ς", "σ"), F.lit("i̇"), F.lit("i"))
+    x = F.when(x.rlike(_RARE), spelled).otherwise(x)
+    return swap(swap(F.lower(x), "ς", "σ"), "i̇", "i")
 
 
 def bare(c: Column) -> Column:
