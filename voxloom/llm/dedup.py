@@ -67,8 +67,8 @@ def encode(rows: DataFrame, fields: Mapping[str, Column], canonical: Mapping[str
     coded = narrow
     for f, c in fields.items():
         values = rows.select(c.cast("string").alias("v")).filter(F.col("v").isNotNull()).distinct()
-        forms = values.select(digest(F.col("v")).alias(f), digest(canonical[f](F.col("v"))).alias("form"))
-        forms = written(forms.filter(F.col("form").isNotNull()), "forms")
+        # written before it is filtered: a filter on the form would make each form twice
+        forms = written(values.select(digest(F.col("v")).alias(f), digest(canonical[f](F.col("v"))).alias("form")), "forms").filter(F.col("form").isNotNull())
         ids = written(forms.select("form").distinct().select("form", F.monotonically_increasing_id().alias(f"{f}_id")), "ids")
         # both tables are smaller than the rows: a value and a form are each there once
         dictionary = forms.join(ids, "form").select(f, f"{f}_id")
