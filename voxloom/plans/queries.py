@@ -644,7 +644,7 @@ _MEASURED = """WITH m AS (SELECT l_orderkey, l_linenumber, l_quantity > 3 AS val
       CASE WHEN l_returnflag <> 'N' THEN l_extendedprice / 10000 END AS target, CASE WHEN l_linestatus = 'F' THEN l_tax * 10 END AS speaker FROM lineitem),
     p AS (SELECT *, 1 - tanh(3 * greatest(0, error)) AS er, exp(-greatest(0, nll) / 3) AS nr, CASE WHEN seconds > 0 AND target > 0 THEN CASE WHEN seconds / target BETWEEN 0.75::DOUBLE AND 1.25::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS dr,
       CASE WHEN seconds > 0 AND target > 0 THEN exp(-abs(ln(seconds / target)) / 0.35) END AS ds, 1 - least(seconds / 12, 1) AS sp FROM m),
-    i AS (SELECT *, CASE WHEN error IS NULL AND nll IS NULL THEN 0 ELSE (CASE WHEN error IS NULL THEN 0 ELSE 0.6 END + CASE WHEN nll IS NULL THEN 0 ELSE 0.4 END) / (coalesce(0.6 / greatest(er, 1e-8), 0) + coalesce(0.4 / greatest(nr, 1e-8), 0)) END AS it FROM (SELECT * REPLACE (CASE WHEN error IS NOT NULL THEN er END AS er, CASE WHEN nll IS NOT NULL THEN nr END AS nr) FROM p))"""
+    i AS (SELECT *, CASE WHEN error IS NULL AND nll IS NULL THEN 0 ELSE (CASE WHEN error IS NULL THEN 0 ELSE 0.6 END + CASE WHEN nll IS NULL THEN 0 ELSE 0.4 END) / (CASE WHEN er IS NULL THEN 0 ELSE 0.6 / greatest(er, 1e-8) END + CASE WHEN nr IS NULL THEN 0 ELSE 0.4 / greatest(nr, 1e-8) END) END AS it FROM (SELECT * REPLACE (CASE WHEN error IS NOT NULL THEN er END AS er, CASE WHEN nll IS NOT NULL THEN nr END AS nr) FROM p))"""
 _WEIGHTS = {"intelligibility": 1.0, "speaker": 0.5, "duration": 0.25, "speed": 0.1, "format": 0.1}
 
 
