@@ -31,12 +31,17 @@ PENALTY = 10.0
 CUT = 14.0
 #: A unit whose languages differ by less, or of a single word, goes with its neighbours.
 WEAK = 4.0
+#: Most that a word can tell two languages apart: one that the training sample knows,
+#: and one that it doesn't. Capitalised words that it doesn't know are taken for names
+#: and tell nothing, nor do katakana.
+KNOWN, UNKNOWN = 8.0, 2.0
 #: Labelled texts up to this length make a stratum of their own in the training sample.
 SHORT = 40
 
 _TAG = re.compile(r"<[^<>\n]{1,300}>")
 _UNIT = re.compile(r"[^.!?…。！？\n\r()\[\]{}«»“”„‟‹›「」『』\"|—–]+[.!?…。！？]*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
+_KATAKANA = re.compile(r"[ァ-ヿㇰ-ㇿ]")
 _PIECE = re.compile(r"[ァ-ヿㇰ-ㇿ]+|[぀-ゟ]+|[㐀-鿿豈-﫿々]+|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+")
 
 
@@ -47,18 +52,30 @@ def _folded(t: str) -> str:
 class Model:
     """Log probability of a character after up to three others, in each language."""
 
-    def __init__(self, languages: list[str], grams: dict[str, int], table: np.ndarray, floor: float) -> None:
-        self.languages, self.grams, self.table, self.floor = languages, grams, table, floor
+    def __init__(self, languages: list[str], grams: dict[str, int], table: np.ndarray, floor: float, lexicon: frozenset[str]) -> None:
+        self.languages, self.grams, self.table, self.floor, self.lexicon = languages, grams, table, floor, lexicon
         self._words: dict[str, int] = {}
         self._rows = np.zeros((1024, len(languages)))
 
     @classmethod
     def train(cls, rows: Iterable[tuple[str, str]]) -> Model:
-        """Witten-Bell interpolation of n-grams up to ``ORDER``, of (language, text)."""
+        """Witten-Bell interpolation of n-grams up to ``ORDER``, of (language, text), over
+        words that are seen in lower case at least as often as with a capital."""
+        texts = [(lang, _TAG.sub(" ", text)) for lang, text in rows]
+        low, high, spread = Counter(), Counter(), Counter()
+        for _, text in texts:
+            words = Counter(_PIECE.findall(text))
+            for w, k in words.items():
+                (high if w[0].isupper() else low)[_folded(w)] += k
+            spread.update({_folded(w) for w in words})
+        plain = {w for w, k in low.items() if k >= high[w] and not _KATAKANA.match(w)}
+        lexicon = frozenset(w for w in plain if spread[w] >= 2)
         counts: dict[str, list[Counter]] = defaultdict(lambda: [Counter() for _ in range(ORDER + 1)])
-        for lang, text in rows:
+        for lang, text in texts:
             c = counts[lang]
-            for w, k in Counter(_PIECE.findall(_folded(_TAG.sub(" ", text)))).items():
+            for w, k in Counter(_PIECE.findall(_folded(text))).items():
+                if w not in plain:
+                    continue
                 w = f" {w} "
                 for n in range(1, ORDER + 1):
                     for i in range(len(w) - n + 1):
@@ -84,10 +101,10 @@ class Model:
                     p[g] = (c[n][g] + k * lower) / (t + k) if t else lower
             for g, i in grams.items():
                 table[i, j] = math.log(p[g])
-        return cls(languages, grams, table.astype(np.float32), math.log(base))
+        return cls(languages, grams, table.astype(np.float32), math.log(base), lexicon)
 
     def __getstate__(self):
-        return self.languages, self.grams, self.table, self.floor
+        return self.languages, self.grams, self.table, self.floor, self.lexicon
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -105,9 +122,23 @@ class Model:
         at = self._words[w] = len(self._words)
         if at >= len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
-        self._rows[at] = self.table[rows].sum(0) + self.floor * (len(padded) - 1 - len(rows))
+        likely = self.table[rows].sum(0)
+        self._rows[at] = likely - likely.max() if rows else 0
         return at
 
+    def _told(self, words: list[str], folded: list[str], cased: bool, short: bool) -> np.ndarray:
+        """Log likelihoods of the words against that of their best language. A short text
+        has few words to speak for it: each may say more."""
+        at = [self._words[w] if w in self._words else self._word(w) for w in folded]
+        if len(self._words) < len(set(folded)):  # emptied on the way
+            at = [self._words[w] if w in self._words else self._word(w) for w in folded]
+        most = np.array([KNOWN if f in self.lexicon else UNKNOWN for f in folded]) * (3 if short else 1)
+        rows = np.maximum(self._rows[at], -most[:, None])
+        names = [i for i, (w, f) in enumerate(zip(words, folded)) if f not in self.lexicon and (cased and w[0].isupper() or _KATAKANA.match(w))]
+        if names:
+            rows[names] = 0
+        return rows
+
     def units(self, text: str) -> tuple[list[tuple[int, int, int, bool]], np.ndarray]:
         """(start, end, letters, single) of the units of a text and their log
         likelihoods. Units are sentences, cut where two languages explain the words
@@ -115,15 +146,13 @@ class Model:
         if "<" in text:
             text = _TAG.sub(lambda m: " " * len(m[0]), text)
         spans, likely = [], []
+        cased = any(map(str.islower, text))
         for m in _UNIT.finditer(text):
             words = list(_PIECE.finditer(m[0]))
             if not words:
                 continue
             folded = [_folded(w[0]) for w in words]
-            at = [self._words[w] if w in self._words else self._word(w) for w in folded]
-            if len(self._words) < len(set(folded)):  # emptied on the way
-                at = [self._words[w] if w in self._words else self._word(w) for w in folded]
-            rows = self._rows[at]
+            rows = self._told([w[0] for w in words], folded, cased, len(text) <= SHORT)
             marks = [0, *self._switches(rows, 0, len(rows)), len(rows)]
             for a, b in zip(marks, marks[1:]):
                 letters = sum(map(len, folded[a:b]))
@@ -260,11 +289,13 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     for lang_, t in _drawn(pick(noisy), 3 * rows):
         named[t][lang_] += 1
     for t, votes in sorted(named.items()):
-        lang_ = max(votes, key=lambda k: (votes[k], k))  # a text labelled in several ways counts once, for most
-        if lang_ in model.languages:
-            spans, likely = model.units(t)
-            if len(spans) == 1 and likely.max() - likely[0, model.languages.index(lang_)] < 6:
-                sample.append((lang_, t))
+        lang_ = max(votes, key=lambda k: (votes[k], k))  # a text labelled in several ways counts for most
+        if lang_ not in model.languages:
+            continue
+        spans, likely = model.units(t)
+        agreed = votes[lang_] >= 2 and 2 * votes[lang_] > sum(votes.values())
+        if len(t) <= SHORT and agreed or len(spans) == 1 and likely.max() - likely[0, model.languages.index(lang_)] < 6:
+            sample += [(lang_, t)] * min(votes[lang_], 5)
     return Model.train(sample)
 
 
