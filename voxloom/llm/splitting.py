@@ -43,7 +43,7 @@ def _cuts(text: str, a: int, b: int, level: int, tags: list[tuple[int, int]]) ->
             word = w[1].lstrip("(«„“\"'").lower()
             if word in ABBREVIATIONS or len(word) == 1 and word.isalpha():
                 continue
-        if kind not in ("word", "mark") and any(s < at < e for s, e in tags):
+        if any(s < at < e for s, e in tags):
             continue
         out.append(at)
     return out
@@ -58,7 +58,8 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     body = max(1, limit - overlap)
     if len(text) <= limit:
         return [(0, len(text), "end")]
-    tags = [m.span() for m in _TAG.finditer(text)] if "<" in text else []
+    # a tag stays whole unless it is too long itself
+    tags = [m.span() for m in _TAG.finditer(text) if len(m[0]) <= body] if "<" in text else []
 
     def opened(a: int, b: int, level: int, kind: str) -> list[tuple[int, int, str]]:
         if b - a <= body:
