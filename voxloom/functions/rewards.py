@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Default weights of the reward components.
@@ -89,3 +89,11 @@ def component_or_invalid(value: Column, valid: Column, invalid: float = -1.0) ->
 
 def fused_reward(values: Mapping[str, Column], valid: Column, weights: Mapping[str, float] = REWARD_WEIGHTS, invalid: float = -1.0) -> Column:
     return F.when(valid, F.coalesce(weighted_mean(values, weights), F.lit(invalid))).otherwise(F.lit(invalid))
+
+
+def rewarded(df: DataFrame, values: Mapping[str, Column], valid: Column, weights: Mapping[str, float] = REWARD_WEIGHTS, invalid: float = -1.0) -> DataFrame:
+    """``df`` with a column for each component and ``reward``. Components are columns of
+    their own first: under the condition of :func:`fused_reward` each would be computed
+    wherever it is named."""
+    made = df.withColumns({f"{k}": v for k, v in values.items()} | {"_valid": valid})
+    return made.withColumn("reward", fused_reward({k: F.col(k) for k in values}, F.col("_valid"), weights, invalid)).drop("_valid")

@@ -103,7 +103,13 @@ class TokenLayout:
 
     def valid_prefix(self, ids: Column) -> Column:
         """How many leading ids belong to the codebook of their position."""
-        ok = F.transform(ids, lambda x, i: (x >= self.bounds(F.pmod(i, F.lit(self.codebooks)))[0]) & (x < self.bounds(F.pmod(i, F.lit(self.codebooks)))[1]))
+        def fits(x: Column, i: Column) -> Column:
+            book = i.bitwiseAND(self.codebooks - 1) if not self.codebooks & (self.codebooks - 1) else F.pmod(i, F.lit(self.codebooks))
+            code = x - (self.base + AUDIO) - book * self.size
+            # for a power of two one mask says whether 0 <= code < size
+            return code.bitwiseAND(-self.size) == 0 if not self.size & (self.size - 1) else (code >= 0) & (code < self.size)
+
+        ok = F.transform(ids, fits)
         bad = F.array_position(ok, F.lit(False))
         return F.when(bad > 0, bad - 1).otherwise(F.size(ids)).cast("int")
 

@@ -670,7 +670,8 @@ _FUSED = """CASE WHEN NOT valid THEN -1 ELSE (it + coalesce(speaker * 0.5, 0) +
 
 @query(_MEASURED + f" SELECT l_orderkey, l_linenumber, round({_FUSED}, 6) AS reward FROM i")
 def k9_rewards(s, d):
-    return _measured(s, d).select("l_orderkey", "l_linenumber", F.round(rewards.fused_reward(_components(), F.col("valid"), _WEIGHTS), 6).alias("reward"))
+    made = rewards.rewarded(_measured(s, d), _components(), F.col("valid"), _WEIGHTS)
+    return made.select("l_orderkey", "l_linenumber", F.round("reward", 6).alias("reward"))
 
 
 @query(_MEASURED + """ SELECT round(avg(it) FILTER (valid), 6) AS intelligibility, round(avg(speaker) FILTER (valid), 6) AS speaker, round(avg(dr) FILTER (valid), 6) AS duration, round(avg(sp) FILTER (valid), 6) AS speed, round(avg(valid::INT), 6) AS format FROM i""")
