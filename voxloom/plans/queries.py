@@ -399,7 +399,7 @@ def g1_oversampled(s, d):
     return datasets.oversampled(datasets.taken(table(s, d, "grpo_example", "example_id", "hard_case"), "example_id", 500)).select("example_id", "copy_no")
 
 
-@query()
+@query("SELECT example_id, clip_id FROM grpo_example")
 def f2_shuffled(s, d):
     return datasets.shuffled(table(s, d, "grpo_example", "example_id", "clip_id"), "example_id", 7)
 
@@ -719,12 +719,82 @@ def _local_tmp(s: SparkSession) -> str:
     return where.removeprefix("file:").replace("///", "/").replace("//", "/")
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id, n_chars, doc_id // 5000 AS writer, row_number() OVER (PARTITION BY doc_id // 5000 ORDER BY doc_id) AS k FROM documents),
+          f AS (SELECT doc_id, n_chars, writer, k, 0 AS batch_no, 1 AS n, n_chars AS b FROM r WHERE k = 1
+                UNION ALL SELECT r.doc_id, r.n_chars, r.writer, r.k, CASE WHEN c THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN c THEN 1 ELSE f.n + 1 END, CASE WHEN c THEN r.n_chars ELSE f.b + r.n_chars END
+                FROM f JOIN r ON r.writer = f.writer AND r.k = f.k + 1, LATERAL (SELECT f.n >= 64 OR f.b >= 50000 OR f.b + r.n_chars > 50000 AS c))
+          SELECT writer, doc_id, n_chars, batch_no FROM f""")
 def n4_upload_batches(s, d):
     m = table(s, d, "documents", "doc_id", "n_chars", F.floor(F.col("doc_id") / 5000).alias("writer"))
     return batching.upload_batches(m, "doc_id", "n_chars", 64, 50_000, "writer")
 
 
+# more of the scalar functions
+
+
+@query("""SELECT l_orderkey, l_linenumber, round((exp(-abs(l_quantity - 25) / 8) + exp(-abs(l_discount - 0.05::DOUBLE) / 0.35) + exp(-abs(l_tax - 0.04::DOUBLE) / 0.3) + CASE WHEN l_returnflag <> 'N' THEN exp(-abs(12 * log2(l_extendedprice / 100 / 200)) / 8) ELSE 0 END
+          + CASE WHEN l_linestatus <> 'O' THEN exp(-abs(l_tax * 50 - 2) / 4) ELSE 0 END) / (3 + CASE WHEN l_returnflag <> 'N' THEN 1 ELSE 0 END + CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END), 6) AS prosody FROM lineitem""")
+def d13_prosody(s, d):
+    named = lambda e, v, q, p, t: F.struct(e.alias("energy_std_db"), v.alias("voiced_ratio"), q.alias("silence_ratio"), p.alias("pitch_median_hz"), t.alias("pitch_std_semitones"))
+    c = F.col
+    own = named(c("l_quantity"), c("l_discount"), c("l_tax"), F.when(c("l_returnflag") != "N", c("l_extendedprice") / 100), F.when(c("l_linestatus") != "O", c("l_tax") * 50))
+    ref = named(F.lit(25.0), F.lit(0.05), F.lit(0.04), F.lit(200.0), F.lit(2.0))
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(signal.prosody_similarity(own, ref), 6).alias("prosody"))
+
+
+@query(rf"""WITH p AS (SELECT example_id, target_duration_seconds AS t, len(reference_audio_ids) AS n, {_CHARS.format("target_text")} AS a, {_CHARS.format("reference_text")} AS b FROM grpo_example WHERE {_ASCII} AND NOT contains(target_text, '<') AND NOT contains(reference_text, '<'))
+           SELECT example_id, round(CASE WHEN t > 0 AND NOT isnan(t) THEN t WHEN n > 0 AND len(a) > 0 AND len(b) > 0 THEN n / 32::DOUBLE / 12.5::DOUBLE * len(a) / len(b) ELSE -1 END, 6) AS seconds FROM p""")
+def h16_reward_durations(s, d):
+    g = table(s, d, "grpo_example", "example_id", "target_duration_seconds", "target_text", "reference_text", "reference_audio_ids")
+    ascii_ = r"^[\x20-\x7E]+$"
+    g = g.filter(F.col("target_text").rlike(ascii_) & F.col("reference_text").rlike(ascii_) & ~F.col("target_text").contains("<") & ~F.col("reference_text").contains("<"))
+    given = F.when(~F.isnan("target_duration_seconds"), F.col("target_duration_seconds"))
+    return g.select("example_id", F.round(text.reward_duration(given, F.col("target_text"), F.col("reference_text"), F.col("reference_audio_ids")), 6).alias("seconds"))
+
+
+@query("SELECT example_id, CASE WHEN lower(coalesce(language, '')) LIKE 'en%' THEN 'wer' ELSE 'cer' END AS metric FROM grpo_example")
+def h20_metric_names(s, d):
+    return table(s, d, "grpo_example", "example_id", text.metric_name(F.col("language")).alias("metric"))
+
+
+@query("""SELECT example_id, list_concat(list_concat(list_concat(list_concat([160003], list_transform(string_split(reference_text, ''), lambda c: unicode(c))), list_transform(string_split(target_text, ''), lambda c: unicode(c))), [3, 160004, 160005, 160001]), reference_audio_ids) AS ids
+          FROM grpo_example WHERE reference_text <> '' AND target_text <> '' AND reference_audio_ids IS NOT NULL""")
+def i9_clone_prompts(s, d):
+    g = table(s, d, "grpo_example", "example_id", "reference_text", "target_text", "reference_audio_ids").filter("reference_text <> '' and target_text <> '' and reference_audio_ids is not null")
+    return g.select("example_id", LAYOUT.clone_prompt(tokens.code_points(F.col("reference_text")), tokens.code_points(F.col("target_text")), F.col("reference_audio_ids")).alias("ids"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(least(1, greatest(0, 0.3 * exp(-1500 * l_discount / 100) + 0.15 * exp(-40 * l_tax / 10) + 0.2 * exp(-abs(20 * log10(l_quantity / 50) + 20) / 18) + 0.15 * exp(-5 * greatest(0, l_discount * 10 - 0.65)) + 0.2 * exp(-80 * greatest(0, 0.98 + l_tax / 10 - 0.985)))), 6) AS quality FROM lineitem""")
+def j7_technical_quality(s, d):
+    c = F.col
+    q = signal.technical_quality(c("l_discount") / 100, c("l_tax") / 10, c("l_quantity") / 50, c("l_discount") * 10, 0.98 + c("l_tax") / 10)
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(q, 6).alias("quality"))
+
+
+@query("""WITH r AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label)
+          SELECT vec_id, round(least(1, greatest(0, list_dot_product(embedding::DOUBLE[], ref::DOUBLE[]) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(ref::DOUBLE[], ref::DOUBLE[])))), 6) AS similarity FROM embeddings JOIN r USING (label)""")
+def j9_clipped_dots(s, d):
+    e = table(s, d, "embeddings")
+    ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
+    return e.join(ref, "label").select("vec_id", F.round(vectors.clipped_dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("ref")), 0.0), 6).alias("similarity"))
+
+
+@query("SELECT vec_id, list_transform(range(0, 32), lambda i: round((embedding[i * 2 + 1]::DOUBLE + embedding[i * 2 + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE) AS mono FROM embeddings")
+def j15_mono(s, d):
+    e = table(s, d, "embeddings", "vec_id", F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.slice("embedding", i * 2 + 1, 2)).alias("frames"))
+    return e.select("vec_id", F.transform(signal.mono(F.col("frames")), lambda v: F.round(v, 6) + F.lit(0.0)).alias("mono"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 = 0 THEN l_discount WHEN l_linenumber % 3 = 1 THEN l_tax ELSE 0 END AS score, CASE WHEN l_discount >= l_tax THEN 'Joy' ELSE 'anger' END AS top, CASE WHEN l_discount >= 0.05::DOUBLE THEN 'Joy' WHEN l_tax >= 0.05::DOUBLE THEN 'anger' END AS first FROM lineitem""")
+def k7_class_scores(s, d):
+    c = F.col
+    pair = lambda k, v: F.struct(F.lit(k).alias("label"), c(v).alias("score"))
+    listed = F.array(pair("Joy", "l_discount"), pair("anger", "l_tax"))
+    target = F.when(c("l_linenumber") % 3 == 0, "joy").when(c("l_linenumber") % 3 == 1, "ANGER").otherwise("fear")
+    score = rewards.class_score(F.create_map(F.lit("Joy"), c("l_discount"), F.lit("anger"), c("l_tax")), target)
+    return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"), rewards.top_label(listed).alias("top"), rewards.first_over(listed, 0.05).alias("first"))
+
+
 # composite: events of different users aligned, long texts with their events
 
 
