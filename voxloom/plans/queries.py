@@ -375,11 +375,12 @@ def e13_windows(s, d):
     return table(s, d, "documents", "doc_id", "n_chars").select("doc_id", F.size(starts).alias("n_windows"), F.element_at(starts, -1).alias("last_start"))
 
 
-@query("""WITH g AS (SELECT example_id, target_duration_seconds AS t, array_length(regexp_extract_all(coalesce(target_text, ''), '[^\\s\\p{Z}\\x{85}\\x0B]+')) AS n, unnest(events) AS e FROM grpo_example)
+@query("""WITH g AS (SELECT example_id, CASE WHEN target_duration_seconds > 0 AND NOT isnan(target_duration_seconds) THEN target_duration_seconds END AS t, array_length(regexp_extract_all(coalesce(target_text, ''), '[^\\s\\p{Z}\\x{85}\\x0B]+')) AS n, unnest(events) AS e FROM grpo_example)
           SELECT example_id, e.type AS type, round(coalesce(e.at_seconds, t * e.after_word / greatest(n, 1), t / 2), 6) AS expected FROM g""")
 def e14_expected_times(s, d):
     g = table(s, d, "grpo_example", "example_id", "target_text", "target_duration_seconds", F.explode("events").alias("e"))
-    at = measures.expected_time(F.col("e"), F.col("target_duration_seconds"), F.coalesce(text.split_words(F.col("target_text")), F.lit(0)))
+    known = F.when((F.col("target_duration_seconds") > 0) & ~F.isnan("target_duration_seconds"), F.col("target_duration_seconds"))
+    at = measures.expected_time(F.col("e"), known, F.coalesce(text.split_words(F.col("target_text")), F.lit(0)))
     return g.select("example_id", F.col("e.type").alias("type"), F.round(at, 6).alias("expected"))
 
 
@@ -608,11 +609,11 @@ def j12_unit_vectors(s, d):
 
 
 @query("""WITH e AS (SELECT a.vec_id, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
-          SELECT vec_id, list_transform(list_concat(list_concat(x[1:54], list_transform(range(1, 11), lambda i: x[54 + i] * (1 - (i - 1) / 10) + y[i] * ((i - 1) / 10))), y[11:]), lambda v: round(v, 5)) AS joined FROM e""")
+          SELECT vec_id, list_transform(list_concat(list_concat(x[1:54], list_transform(range(1, 11), lambda i: x[54 + i] * (1 - (i - 1) / 10) + y[i] * ((i - 1) / 10))), y[11:]), lambda v: round(v, 5) + 0.0::DOUBLE) AS joined FROM e""")
 def j13_crossfaded(s, d):
     e = table(s, d, "embeddings", "vec_id", F.col("embedding").alias("x"))
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y"))
-    return e.join(nxt, "vec_id").select("vec_id", F.transform(signal.crossfaded(F.array("x", "y"), 1000, 10), lambda v: F.round(v, 5)).alias("joined"))
+    return e.join(nxt, "vec_id").select("vec_id", F.transform(signal.crossfaded(F.array("x", "y"), 1000, 10), lambda v: F.round(v, 5) + F.lit(0.0)).alias("joined"))
 
 
 def _waves(s, d):
