@@ -303,6 +303,20 @@ def test_jsonl_round_trip(spark, tmp_path):
     assert [r.id for r in ranking.distilled(files.read_reports(spark, [str(tmp_path / "rep.json")])).collect()] == ["rep"]
 
 
+def test_jsonl_lines_of_a_split_file(spark, tmp_path):
+    src = tmp_path / "big.jsonl"
+    src.write_text("".join(f'{{"id":"{i}"}}\n' for i in range(1, 3001)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = files.read_jsonl(spark, str(src), "id string")
+        assert rows.filter("cast(id as long) <> _line").count() == 0 and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def _wav(seconds, rate, channels=1):
     import io
 

@@ -343,7 +343,7 @@ def e8_budget_batches(s, d):
 
 
 @query("""WITH n AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS position, n_chars FROM documents), r AS (SELECT n_chars, position // 64 AS b, (row_number() OVER (PARTITION BY position // 64 ORDER BY n_chars, position) - 1) // 8 AS k FROM n),
-          g AS (SELECT count(*) AS n, sum(n_chars) AS s, max(n_chars) * count(*) AS p FROM r GROUP BY b, k) SELECT sum(n) AS n_rows, count(*) AS n_batches, sum(s) AS samples, sum(p) AS padded, round(sum(s) / sum(p), 9) AS efficiency FROM g""")
+          g AS (SELECT count(*) AS n, sum(n_chars) AS s, max(n_chars) * count(*) AS p FROM r GROUP BY b, k) SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_batches, CAST(sum(s) AS BIGINT) AS samples, CAST(sum(p) AS BIGINT) AS padded, round(sum(s) / sum(p), 9) AS efficiency FROM g""")
 def d9_batch_stats(s, d):
     out = batching.batch_stats(e8_length_batches(s, d), "n_chars")
     return out.withColumn("efficiency", F.round("efficiency", 9))
@@ -559,7 +559,7 @@ def i15_legal_ids(s, d):
     return table(s, d, "embeddings", "vec_id", SMALL.legal(F.col("vec_id"), F.lit(3), F.lit(100)).alias("l")).select("vec_id", "l.*")
 
 
-@query("SELECT row_no, coalesce(json_array_length(nullif(events, '')::JSON), 0) AS n_events, json_extract_string(nullif(events, '')::JSON, '$[0].type') AS first_type FROM expressive")
+@query("SELECT row_no, CAST(coalesce(json_array_length(nullif(events, '')::JSON), 0) AS INT) AS n_events, json_extract_string(nullif(events, '')::JSON, '$[0].type') AS first_type FROM expressive")
 def i17_events(s, d):
     ev = frontend.events_of_json(F.col("events"))
     return table(s, d, "expressive", "row_no", "events").select("row_no", F.size(ev).alias("n_events"), F.get(ev, F.lit(0))["type"].alias("first_type"))

@@ -12,7 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxloom.functions.tokens import frame_count
@@ -27,8 +27,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str = MANIFEST, strict: b
     names file and line; without ``strict`` such lines are left out. ``rest`` names a
     VARIANT column for the whole object, so that unknown fields aren't lost."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
-    firsts = lines.groupBy("_file").agg(F.min("_n").alias("_first"))
-    lines = lines.join(firsts, "_file").withColumn("_line", F.col("_n") - F.col("_first") + 1).drop("_first", "_n", "_block")
+    # a file is read in blocks: a line's number is its place in the block after the lines of earlier blocks
+    blocks = lines.groupBy("_file", "_block").agg(F.min("_n").alias("_first"), F.count(F.lit(1)).alias("_k"))
+    before = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    lines = lines.join(blocks, ["_file", "_block"]).withColumn("_line", F.col("_before") + F.col("_n") - F.col("_first") + 1).drop("_before", "_first", "_n", "_block")
     full = lines.filter(F.length(F.trim(F.regexp_replace("value", r"\s+", " "))) > 0)
     good = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
     if strict:
