@@ -147,8 +147,8 @@ def test_held_out_languages(spark, sf):
     rows = ds.dataset(f"{sf}/eval_item.parquet").to_table().to_pylist()
     right = [languages.passages(m, r["text"])[0][2] == language_of_label(r["lang"]) for r in rows]
     assert np.mean(right) > 0.97
-    with pytest.raises(ValueError):
-        languages.train(spark.createDataFrame([(1, "x", "zz")], "doc_id int, text string, lang string"))
+    none = languages.train(spark.createDataFrame([(1, "x", "zz")], "doc_id int, text string, lang string"))
+    assert [p[2:] for p in languages.passages(none, "some text")] == [("und", 0.0)]
 
 
 def test_segments_table(spark, model):

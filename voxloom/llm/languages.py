@@ -82,7 +82,7 @@ class Model:
                         c[n][w[i : i + n]] += k
         languages = sorted(counts)
         letters = sorted({g for c in counts.values() for g in c[1]})
-        base = 1.0 / (len(letters) + 1000)
+        base = 1.0 / (len(letters) + 1000)  # of a character that no text has
         every = [sorted({g for c in counts.values() for g in c[n]}) for n in range(ORDER + 1)]
         grams = {g: i for i, g in enumerate(g for n in range(1, ORDER + 1) for g in every[n])}
         table = np.full((len(grams), len(languages)), math.log(base))
@@ -219,8 +219,8 @@ def passages(model: Model, text: str | None) -> list[tuple[int, int, str, float]
 
     Neighbouring passages differ in language and together they cover the text. A text
     without a letter, empty or null has one passage in ``und`` with confidence 0."""
-    if not text:
-        return [(0, 0, "und", 0.0)]
+    if not text or not model.languages:
+        return [(0, len(text or ""), "und", 0.0)]
     spans, likely = model.units(text)
     if not spans:
         return [(0, len(text), "und", 0.0)]
@@ -273,17 +273,16 @@ def _drawn(src: DataFrame, rows: int) -> list[tuple[str, str]]:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = ROWS_A_LANGUAGE, noisy: DataFrame | None = None) -> Model:
     """A model from labelled rows: about ``rows`` a language, drawn by a repeatable
     random place; labels that name no language and texts longer than ``LONGEST`` are
-    not used for training. No labelled row is an error.
+    not used for training. Without a labelled row the model knows no language: all
+    texts are ``und``.
 
     noisy: (key, text, lang) with labels of which some are wrong. Those of a sample
     that a first model doesn't contradict are added, so that short utterances are
     known too."""
     pick = lambda d: d.select(F.col(text).alias("t"), language_code(F.col(lang)).alias("l"), mixed(F.col(key), seed=7).alias("place"))
     sample = _drawn(pick(labelled), rows)
-    if not sample:
-        raise ValueError("no labelled row to train on")
     model = Model.train(sample)
-    if noisy is None:
+    if noisy is None or not sample:
         return model
     named: dict[str, Counter] = defaultdict(Counter)
     for lang_, t in _drawn(pick(noisy), 3 * rows):
