@@ -418,6 +418,12 @@ def h1_transcripts(s, d):
     return table(s, d, "manifest", "row_no", "text").filter("text is not null").filter(~F.col("text").rlike("İ|ς")).select("row_no", text.transcript(F.col("text")).alias("said"))
 
 
+@query()
+def h1_all_transcripts(s, d):
+    """Every row; h1_transcripts is the part on which DuckDB's lower() folds alike."""
+    return table(s, d, "manifest", "row_no", "text").select("row_no", text.transcript(F.col("text")).alias("said"))
+
+
 _ASCII = r"regexp_matches(target_text, '^[\x20-\x7E]+$') AND regexp_matches(reference_text, '^[\x20-\x7E]+$')"
 _CHARS = r"regexp_replace(lower({0}), '[\s\p{{P}}\p{{S}}]+', '', 'g')"
 
@@ -431,6 +437,14 @@ def h3_character_errors(s, d):
     return g.select("example_id", F.round(text.character_error_rate(F.col("target_text"), F.col("reference_text")), 9).alias("cer"))
 
 
+@query()
+def h3_all_character_errors(s, d):
+    """Every row, null where a text is; h3_character_errors is the part that SQL can say."""
+    g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text")
+    rate = F.round(text.character_error_rate(F.col("target_text"), F.col("reference_text")), 9)
+    return g.select("example_id", F.when(F.col("target_text").isNotNull() & F.col("reference_text").isNotNull(), rate).alias("cer"))
+
+
 @query()
 def h3_word_errors(s, d):
     g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text").filter("target_text is not null and reference_text is not null")
@@ -456,6 +470,12 @@ def h8_plain_quotes(s, d):
     return r.select("request_id", frontend.native_normalized(F.col("text"), "en").alias("plain"))
 
 
+@query()
+def h8_all_plain_quotes(s, d):
+    """Every row; h8_plain_quotes is the part without abbreviations."""
+    return table(s, d, "synthesis_request", "request_id", "text").select("request_id", frontend.native_normalized(F.col("text"), "en").alias("plain"))
+
+
 @query()
 def h13_chunks(s, d):
     r = table(s, d, "synthesis_request", "request_id", "text")
@@ -753,6 +773,14 @@ def h16_reward_durations(s, d):
     return g.select("example_id", F.round(text.reward_duration(given, F.col("target_text"), F.col("reference_text"), F.col("reference_audio_ids")), 6).alias("seconds"))
 
 
+@query()
+def h16_all_reward_durations(s, d):
+    """Every row; h16_reward_durations is the part that SQL can say."""
+    g = table(s, d, "grpo_example", "example_id", "target_duration_seconds", "target_text", "reference_text", "reference_audio_ids")
+    given = F.when(~F.isnan("target_duration_seconds"), F.col("target_duration_seconds"))
+    return g.select("example_id", F.round(text.reward_duration(given, F.col("target_text"), F.col("reference_text"), F.col("reference_audio_ids")), 6).alias("seconds"))
+
+
 @query("SELECT example_id, CASE WHEN lower(coalesce(language, '')) LIKE 'en%' THEN 'wer' ELSE 'cer' END AS metric FROM grpo_example")
 def h20_metric_names(s, d):
     return table(s, d, "grpo_example", "example_id", text.metric_name(F.col("language")).alias("metric"))
