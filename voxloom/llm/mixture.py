@@ -12,7 +12,7 @@ import base64
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxloom.plans.scale import bits_for, mixed, running, written
@@ -115,7 +115,8 @@ def plan(sizes: DataFrame, weights: DataFrame, schedules: Mapping[str, Sequence[
 
 
 def mix(documents: DataFrame, weights: DataFrame, size: Column, schedules: Mapping[str, Sequence[float]] | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(mixture, report). mixture: (position, doc_id, copy_no, source, size), range-
+    """(mixture, report). report: as of :func:`plan`, but ``given`` and ``reached_bp`` are
+    the sizes of the copies in the mixture. mixture: (position, doc_id, copy_no, source, size), range-
     sorted by position, the time in [0, 1] at which the source's demand reaches the
     middle of the document's copy. Each pass over a source is whole before the next
     begins; the last pass ends with the document in which the demand ends, if more
@@ -135,7 +136,17 @@ def mix(documents: DataFrame, weights: DataFrame, size: Column, schedules: Mappi
     # a source that falls short is stretched over the whole course
     position = time_of(at / F.col("_give"), F.col("_w"), F.col("_a"))
     out = each.select(position.alias("position"), "doc_id", "copy_no", "source", "size")
-    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "copy_no"), report
+    dealt = laid.filter(copies > 0).groupBy("source").agg(F.sum(F.col("size") * copies).alias("_dealt"))
+    return out.repartitionByRange(F.col("position"), F.col("doc_id")).sortWithinPartitions("position", "doc_id", "copy_no"), reached(report, dealt)
+
+
+def reached(report: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The report of :func:`plan` with ``given`` and ``reached_bp`` of the copies that
+    were really dealt: (source, _dealt), one row a source."""
+    own = report.join(F.broadcast(dealt), "source", "left").withColumn("given", F.coalesce("_dealt", F.lit(0)).cast("double"))  # at most MOST_SOURCES rows
+    total = F.sum("given").over(Window.partitionBy())
+    share = F.when(total > 0, 10000 * F.col("given") / total).otherwise(F.lit(0.0))
+    return own.withColumn("reached_bp", share).select(*report.columns)
 
 
 def found(report: DataFrame) -> DataFrame:

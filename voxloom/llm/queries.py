@@ -126,11 +126,11 @@ def p8_mixture(s, d):
 
 def p8_curriculum(s, d):
     """Two sources are brought forward, one grows towards the end."""
-    return _mix(s, d, F.col("n_chars"), {"story-shelf": [3, 1, 0.5], "museum-guides": [2, 1], "night-show": [0.2, 1, 3]})[0]
+    return _mix(s, d, mixture.token_count(F.col("text")), {"story-shelf": [3, 1, 0.5], "museum-guides": [2, 1], "night-show": [0.2, 1, 3]})[0]
 
 
 def p8_report(s, d):
-    return _mix(s, d, F.col("n_chars"))[1]
+    return _mix(s, d, mixture.token_count(F.col("text")))[1]
 
 
 def _residue(s, d):
