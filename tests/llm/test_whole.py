@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import mixture, queries
+from voxloom.llm import contamination, mixture, queries
 
 
 def test_report_counts_the_copies_dealt(spark):
@@ -31,3 +31,20 @@ def test_mixture_queries_count_tokens(spark, sf):
     assert {s: g for s, g in report.items() if g} == {s: n for s, n in tokens.items() if n}
     course = {r.source: r.n for r in own["p8_curriculum"](spark, sf).groupBy("source").agg(F.sum("size").alias("n")).collect()}
     assert course == tokens
+
+
+# 7: leaks
+
+
+def passage(seed, words=60):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghijklmnoprstuvyz") for _ in range(r.randint(3, 8))) for _ in range(words))
+
+
+def test_an_unclosed_tag_ends_with_its_text(spark):
+    items = [(i, passage(i)) for i in range(3)]
+    docs = [(10, items[0][1]), (11, passage(50) + " <nar_control emotion=joy"), (12, items[1][1]), (13, items[1][1] + " <NAR_EVENT type"), (14, "<nar_event type=sob> " + items[2][1]), (15, "x > y"), (16, items[0][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    it = spark.createDataFrame([*items[:2], (2, items[2][1]), (3, "<nar_control " + items[0][1])], "item_id long, text string")
+    got = {tuple(r) for r in contamination.found(contamination.leaks(df, it)).collect()}
+    assert got == {(10, 0), (10, 3), (12, 1), (13, 1), (14, 2), (16, 0), (16, 3)}

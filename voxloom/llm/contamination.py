@@ -30,7 +30,8 @@ _GRAMS = _STEP * _BLOCKS
 WINDOW = _GRAMS + _GRAM - 1  # 52 characters: with a step of 6 at most 57 are needed
 #: Characters of items that a task holds at once; more items make more passes.
 BLOCK_CHARS = 4_000_000
-_TAG = re.compile(r"<nar_(?:control|event)\b[^>]*>", re.IGNORECASE)
+#: Ends within its text: texts are joined by 0.
+_TAG = re.compile(r"<nar_(?:control|event)\b[^>\0]*>", re.IGNORECASE)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
