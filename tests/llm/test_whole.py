@@ -3,6 +3,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,3 +49,29 @@ def test_an_unclosed_tag_ends_with_its_text(spark):
     it = spark.createDataFrame([*items[:2], (2, items[2][1]), (3, "<nar_control " + items[0][1])], "item_id long, text string")
     got = {tuple(r) for r in contamination.found(contamination.leaks(df, it)).collect()}
     assert got == {(10, 0), (10, 3), (12, 1), (13, 1), (14, 2), (16, 0), (16, 3)}
+
+
+def test_every_near_window_is_found():
+    r = random.Random(3)
+    items = [(i, passage(i, 30)) for i in range(8)] + [(8, "aaaa" * 30), (9, passage(1, 12) + " " + passage(2, 12))]
+    texts = []
+    for i in range(60):
+        part = list(items[i % 10][1])
+        for at in range(r.randint(10, 50), len(part), r.choice([30, 45, 60, 80])):  # changed, missing, added characters
+            part[at] = r.choice(["", "q", part[at] + "q"])
+        texts.append(passage(100 + i, 5) + " " + "".join(part))
+    keep = contamination.kept_characters()
+    ix = contamination.ItemIndex([i for i, _ in items], [t for _, t in items], keep)
+    codes = contamination.bare_codes(texts, keep)
+    grams, ends, want = contamination.gram_hashes(codes), np.flatnonzero(codes == 0), {}
+    for p in range(0, len(codes) - contamination.WINDOW, 6):
+        t = int(np.searchsorted(ends, p))
+        if p + contamination.WINDOW > ends[t]:
+            continue
+        a = np.repeat(grams[p : p + 48][None], len(ix.places), 0)
+        sim = ix.similarity(a, ix.grams[ix.places[:, None] + np.arange(48)])
+        for o, v in zip(ix.owner[sim >= 0.8].tolist(), sim[sim >= 0.8].tolist()):
+            want[t, o] = max(want.get((t, o), 0), v)
+    got = {(t, o): v for t, o, _, v in ix.leaks(codes)}
+    assert got == pytest.approx(want) and len(want) > 40
+    assert sum(v < 1 for v in want.values()) > 10

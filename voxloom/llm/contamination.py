@@ -5,8 +5,9 @@ Windows of evaluation items are taken at every position, those of documents at e
 sixth, so that each common passage of ``RUN`` characters holds a window of a document
 that is, character for character, a window of the item. Fingerprints are looked up by
 blocks of their bits: two that differ in at most ``radius`` bits agree in one of
-``radius + 1`` blocks, so none within the radius is missed. Weighted shingle
-similarity verifies candidates, then the common run is measured exactly.
+``radius + 1`` blocks, so none within the radius is missed. Near windows often differ
+in more bits; they are found by their rarest shingles, again without a miss. Weighted
+shingle similarity verifies candidates, then the common run is measured exactly.
 
 Windows have the size of the shortest passage to be reported, not of a whole item:
 an item may leak in part. The items are the query set; they are held by each task in
@@ -15,6 +16,7 @@ blocks of a bounded number of characters, against all documents.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -132,8 +134,15 @@ class ItemIndex:
             seen = np.zeros(1 << small, dtype=bool)
             seen[(key & np.uint64((1 << small) - 1)).astype(np.int64)] = True
             self.blocks.append((shift, mask, key[order], order, np.uint64((1 << small) - 1), seen))
-        found, times = np.unique(grams, return_counts=True)
+        found, back, times = np.unique(grams, return_inverse=True, return_counts=True)
         self.known, self.weights = found, 1.0 / times
+        #: Each shingle's number in ``known``, where each number occurs, and a table of the shingles' low bits.
+        self.numbers, self.times = back.astype(np.int32), times
+        self.at, self.first = np.argsort(back, kind="stable"), np.concatenate(([0], np.cumsum(times)))
+        self.window_at = np.full(len(grams) + 1, -1, dtype=np.int64)
+        self.window_at[self.places] = np.arange(len(self.places))
+        self.low = np.zeros(1 << 22, dtype=bool)
+        self.low[(found & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item window): all pairs whose fingerprints are within the radius."""
@@ -152,6 +161,81 @@ class ItemIndex:
         pair = np.unique(w.astype(np.int64) * max(1, len(self.prints)) + i)
         return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
 
+    def number(self, grams: np.ndarray) -> np.ndarray:
+        """Numbers of shingles in ``known``, -1 for those that no item holds."""
+        out = np.full(len(grams), -1, dtype=np.int32)
+        at = np.flatnonzero(self.low[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        i = np.minimum(np.searchsorted(self.known, grams[at]), len(self.known) - 1)
+        same = self.known[i] == grams[at]
+        out[at[same]] = i[same]
+        return out
+
+    def near(self, grams: np.ndarray, least: float, skip) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, item window) in portions: at least all pairs of a weighted shingle
+        similarity of ``least``, whatever their fingerprints. ``skip`` tells of arrays
+        (window, item) which pairs need no look.
+
+        A window of weight W shares at least ``least * W`` with such an item window, so
+        it lacks less than the rest, and of any of its shingles that weigh more than the
+        rest the item window holds one: the rarest are looked up."""
+        n = len(grams) // _STEP
+        if n < _BLOCKS or not len(self.prints):
+            return
+        grams = grams[: n * _STEP]
+        number = self.number(grams)
+        weight = np.where(number >= 0, self.weights[number], 1.0)
+        again = np.zeros(len(grams), dtype=bool)  # a shingle met twice in a window weighs once
+        for k in range(1, _GRAMS):
+            again[k:] |= grams[k:] == grams[:-k]
+
+        def windows(x):
+            s = np.concatenate(([0], np.cumsum(x.reshape(n, _STEP).sum(1))))
+            return s[_BLOCKS:] - s[:-_BLOCKS]
+
+        known = windows(np.where(number >= 0, weight, 0.0))
+        look = np.flatnonzero((known > 0) & ((windows(again) > 0) | (known >= least * windows(weight) - 1e-6)))
+        for s in range(0, len(look), 50_000):
+            w = look[s : s + 50_000]
+            at = w[:, None] * _STEP + np.arange(_GRAMS)
+            order = np.argsort(grams[at], axis=1)
+            h = np.take_along_axis(grams[at], order, 1)
+            num, own = np.take_along_axis(number[at], order, 1), np.take_along_axis(weight[at], order, 1)
+            own[:, 1:][h[:, 1:] == h[:, :-1]] = 0.0
+            num[own == 0] = -1
+            total = own.sum(1)
+            ok = np.where(num >= 0, own, 0.0).sum(1) >= least * total - 1e-9
+            w, num, own, total = w[ok], num[ok], own[ok], total[ok]
+            # heaviest first, those that no item holds before all others
+            order = np.argsort(np.where(num < 0, -2.0, -own), axis=1, kind="stable")
+            num, own = np.take_along_axis(num, order, 1), np.take_along_axis(own, order, 1)
+            before = np.cumsum(own, axis=1) - own
+            row, col = np.nonzero((num >= 0) & (before <= (1 - least) * total[:, None] + 1e-9))
+            pick = num[row, col]
+            times = self.times[pick]
+            bounds = np.concatenate(([0], np.cumsum(times)))
+            a = 0
+            while a < len(row):  # about 20,000 places of items at once
+                b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + 20_000, "right")) - 1)
+                k = np.repeat(np.arange(a, b), times[a:b])
+                place = self.at[self.first[pick[k]] + np.arange(len(k)) - (bounds[k] - bounds[a])]
+                r, a = row[k], b
+                keep = ~skip(w[r], place)
+                r, place = r[keep], place[keep]
+                span = place[:, None] + np.arange(1 - _GRAMS, _GRAMS)
+                inside = (span >= 0) & (span < len(self.numbers))
+                span = np.clip(span, 0, len(self.numbers) - 1)
+                theirs = np.where(inside, self.numbers[span], -2)
+                held = np.zeros(theirs.shape, dtype=bool)
+                for j in range(_GRAMS):
+                    held |= theirs == num[r, j][:, None]
+                sums = np.concatenate((np.zeros((len(r), 1)), np.cumsum(np.where(held, self.weights[np.maximum(theirs, 0)], 0.0), axis=1)), axis=1)
+                x, q = np.nonzero(sums[:, _GRAMS:] - sums[:, :-_GRAMS] >= least * total[r][:, None] - 1e-9)
+                start = place[x] + 1 - _GRAMS + q
+                i = np.where(start >= 0, self.window_at[np.maximum(start, 0)], -1)
+                x, i = x[i >= 0], i[i >= 0]
+                pair = np.unique(w[r[x]].astype(np.int64) * len(self.prints) + i)
+                yield pair // len(self.prints), pair % len(self.prints)
+
     def similarity(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Weighted Jaccard similarity of rows of shingle hashes; a shingle weighs
         less the more often the items hold it."""
@@ -176,42 +260,54 @@ class ItemIndex:
         shared = (weight(both[:, 1:]) * twice).sum(1)
         return shared / np.maximum(own - shared, 1e-12)
 
-    def leaks(self, codes: np.ndarray, run: int = RUN, least: float = 0.8) -> Iterator[tuple[int, int, bool, float]]:
+    def leaks(self, codes: np.ndarray, run: int = RUN, least: float = 0.8, near: bool = True) -> Iterator[tuple[int, int, bool, float]]:
         """(text, item, exact, similarity) for texts of ``codes`` (each ended by 0):
-        exact if ``run`` characters in a row are common, else near."""
+        exact if ``run`` characters in a row are common, else near; without ``near``
+        only windows whose fingerprints are within the radius are looked at."""
         ends = np.flatnonzero(codes == 0)
         chunk, edge = 3_000_000 // _STEP * _STEP, WINDOW + _STEP
         best: dict[tuple[int, int], tuple[bool, float]] = {}
         more = run - WINDOW
+        item_ends = np.flatnonzero(self.codes == 0)
         for c in range(0, len(codes), chunk):
             part = codes[c : c + chunk + edge]
             grams = gram_hashes(part)
-            w, i = self.candidates(simhashes(grams))
-            if not len(w):
-                continue
-            p, q = c + w * _STEP, self.places[i]
-            text, ok = np.searchsorted(ends, p), np.ones(len(p), dtype=bool)
-            ok &= p + WINDOW <= ends[text]
-            p, q, i, text = p[ok], q[ok], i[ok], text[ok]
-            for s in range(0, len(p), 100_000):
-                pp, qq, ii, tt = (x[s : s + 100_000] for x in (p, q, i, text))
-                span = np.arange(_GRAMS)
-                sim = self.similarity(grams[(pp - c)[:, None] + span], self.grams[qq[:, None] + span])
-                good = sim >= least
-                pp, qq, ii, tt, sim = pp[good], qq[good], ii[good], tt[good], sim[good]
-                same = (codes[pp[:, None] + np.arange(WINDOW)] == self.codes[qq[:, None] + np.arange(WINDOW)]).all(1)
-                reach = np.arange(1, more + 1)
-                before_a, before_b = pp[:, None] - reach, qq[:, None] - reach
-                x, y = codes[np.maximum(before_a, 0)], self.codes[np.maximum(before_b, 0)]
-                back = ((x == y) & (x != 0) & (before_a >= 0) & (before_b >= 0)).cumprod(1).sum(1)
-                after_a = np.minimum(pp[:, None] + WINDOW - 1 + reach, len(codes) - 1)
-                after_b = np.minimum(qq[:, None] + WINDOW - 1 + reach, len(self.codes) - 1)
-                x, y = codes[after_a], self.codes[after_b]
-                ahead = ((x == y) & (x != 0)).cumprod(1).sum(1)
-                exact = same & (back + ahead >= more)
-                for t, o, e, v in zip(tt.tolist(), self.owner[ii].tolist(), exact.tolist(), sim.tolist()):
-                    old = best.get((t, o), (False, 0.0))
-                    best[t, o] = (old[0] or e, max(old[1], v))
+            sure = set()
+
+            def skip(w, place):
+                if not sure:
+                    return np.zeros(len(w), dtype=bool)
+                pair = np.searchsorted(ends, c + w * _STEP) * (len(self.owners) + 1) + np.searchsorted(item_ends, place)
+                return np.isin(pair, np.fromiter(sure, dtype=np.int64, count=len(sure)))
+
+            # equal windows first: pairs that hold one need no search for near ones
+            for w, i in itertools.chain([self.candidates(simhashes(grams))], self.near(grams, least, skip) if near else ()):
+                if not len(w):
+                    continue
+                p, q = c + w * _STEP, self.places[i]
+                text, ok = np.searchsorted(ends, p), np.ones(len(p), dtype=bool)
+                ok &= p + WINDOW <= ends[text]
+                p, q, i, text = p[ok], q[ok], i[ok], text[ok]
+                for s in range(0, len(p), 100_000):
+                    pp, qq, ii, tt = (x[s : s + 100_000] for x in (p, q, i, text))
+                    span = np.arange(_GRAMS)
+                    sim = self.similarity(grams[(pp - c)[:, None] + span], self.grams[qq[:, None] + span])
+                    good = sim >= least
+                    pp, qq, ii, tt, sim = pp[good], qq[good], ii[good], tt[good], sim[good]
+                    same = (codes[pp[:, None] + np.arange(WINDOW)] == self.codes[qq[:, None] + np.arange(WINDOW)]).all(1)
+                    reach = np.arange(1, more + 1)
+                    before_a, before_b = pp[:, None] - reach, qq[:, None] - reach
+                    x, y = codes[np.maximum(before_a, 0)], self.codes[np.maximum(before_b, 0)]
+                    back = ((x == y) & (x != 0) & (before_a >= 0) & (before_b >= 0)).cumprod(1).sum(1)
+                    after_a = np.minimum(pp[:, None] + WINDOW - 1 + reach, len(codes) - 1)
+                    after_b = np.minimum(qq[:, None] + WINDOW - 1 + reach, len(self.codes) - 1)
+                    x, y = codes[after_a], self.codes[after_b]
+                    ahead = ((x == y) & (x != 0)).cumprod(1).sum(1)
+                    exact = same & (back + ahead >= more)
+                    for t, o, e, v in zip(tt.tolist(), self.owner[ii].tolist(), exact.tolist(), sim.tolist()):
+                        old = best.get((t, o), (False, 0.0))
+                        best[t, o] = (old[0] or e, max(old[1], v))
+                sure = {t * (len(self.owners) + 1) + o for (t, o), (e, v) in best.items() if v >= 1 - 1e-12}
         for (t, o), (e, v) in best.items():
             yield t, int(self.owners[o]), e, v
 
@@ -220,8 +316,9 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int =
     """(doc_id, item_id, exact, similarity): documents that hold a passage of an item.
 
     exact: ``run`` (60 or more) consecutive characters of the bare item occur in the
-    bare document; otherwise (only with ``near``) a window of it does within the
-    radius and with a weighted shingle similarity of 0.8 or more. Items shorter than
+    bare document; otherwise (only with ``near``) one of the document's windows, at
+    every sixth position, has a weighted shingle similarity of 0.8 or more with a
+    window of it, whatever the distance of their fingerprints. Items shorter than
     a window when bare, null and empty texts leak nowhere. Repeated items are
     reported by each id, repeated documents too."""
     if run < WINDOW + _STEP - 1:
@@ -244,7 +341,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int =
             for x in batches:
                 docs, rows = x.column(0).to_pylist(), []
                 if index is not None and len(index.prints):
-                    rows = [(docs[t], o, e, v) for t, o, e, v in index.leaks(bare_codes(x.column(1).to_pylist(), mask), run) if near or e]
+                    rows = [(docs[t], o, e, v) for t, o, e, v in index.leaks(bare_codes(x.column(1).to_pylist(), mask), run, near=near) if near or e]
                 columns = list(zip(*rows)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_(), pa.float64()))], ["doc_id", "item_id", "exact", "similarity"])
 

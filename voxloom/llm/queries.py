@@ -103,12 +103,16 @@ def p6_collapsed(s, d):
     return dedup.collapsed(table(s, d, "manifest"))
 
 
+def _leaks(s, d, near=True):
+    return contamination.leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_item", "item_id", "text"), near=near)
+
+
 def p7_leaks(s, d):
-    return contamination.leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_item", "item_id", "text"))
+    return _leaks(s, d)
 
 
 def p7_found(s, d):
-    return contamination.found(p7_leaks(s, d))
+    return contamination.found(_leaks(s, d, near=False))
 
 
 def _mix(s, d, size, schedules=None):
