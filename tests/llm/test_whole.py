@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxloom.llm import contamination, mixture, queries
+from voxloom.llm import contamination, mixture, queries, residue
 
 
 def test_report_counts_the_copies_dealt(spark):
@@ -75,3 +75,23 @@ def test_every_near_window_is_found():
     got = {(t, o): v for t, o, _, v in ix.leaks(codes)}
     assert got == pytest.approx(want) and len(want) > 40
     assert sum(v < 1 for v in want.values()) > 10
+
+
+# 9: residue
+
+PROSE = "Anna walks along the river and nobody speaks, while the boats drift slowly past the old mill. The evening is cold and the lamps burn low. "
+
+
+@pytest.mark.parametrize(("said", "kind"), [
+    ("Please enable JavaScript to listen.", "script"), ("The page you requested could not be found.", "error"), ("Then undefined opened the door and smiled.", "value"), ("Se ha producido un error en el servidor.", "error"),
+    ("HTTP 504", "error"), ("404 Not Found", "error"), ("We could not load this page.", "error"), ("Hello %s, here is the next chapter.", "placeholder"),
+])
+def test_long_lines_are_read_by_sentences(said, kind):
+    assert kind in residue.line_kinds(said)
+    for line in (PROSE * 2 + said, said.rstrip(".") + ". " + PROSE * 2, PROSE + said.rstrip(".") + ". " + PROSE):
+        assert len(line) > residue.MESSAGE and residue.line_kinds(line) == {kind}
+
+
+@pytest.mark.parametrize("said", ["We could not open the door.", "There was a problem with the roof.", "450 people came.", "None of them spoke.", "A mark such as undefined is only a word."])
+def test_stories_in_long_lines_are_harmless(said):
+    assert residue.line_kinds(PROSE * 2 + said + " " + PROSE) == set()

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from voxloom.plans.scale import skew_join, written
 
-#: Longest line, in code points, that can be a message rather than prose.
+#: Longest line, in code points, that is looked at as one message; longer ones are by sentences.
 MESSAGE = 160
 #: A text that is served as often, by as many sources, is boilerplate of a host.
 COPIES, HOSTS = 3, 2
@@ -138,6 +138,11 @@ _TELLS = re.compile(
 _OPENERS = re.compile(r"[{%$#<\[@_~|&【]")
 _LATIN_SIGNS = ("lorem", "ipsum", "dolor", "nibh", "turpis", "mattis", "ornare", "congue", "ligula", "consectetur", "adipiscing")
 _VALUE_SIGNS = ("null", "None", "NULL", "undefined", "NaN", "nil")
+_SENTENCE = re.compile(r"(?<=[.!?…])[\"'“”’»)\]]*\s+|(?<=[。！？!?])[」』”）]*")
+#: Openings of messages that also open sentences of a story, unless a page or the like is named.
+_NARRATED = re.compile(r"(?:we |we konden|there (?:was|has been) an? |oops|\(?[45]\d\d\)?\s+(?!not found|forbidden|gone|bad |unauthorized|internal |service |gateway |too many|method |request |conflict|payment )\w)", _I)
+_PAGE = re.compile(r"\b(?:page|file|site|server|request|browser|recording|content|player|link|url|connection|error|load|try again|pagina|opname|bestand|laden)\b|null|undefined|\bNaN\b|javascript|\bscripts?\b|\bcookies?\b", _I)
+_QUOTES = " \t\"'“”‘’«»„「」『』"
 _EDGES = " .,:;!?…-–—\"'[]()。、\t"
 
 
@@ -152,6 +157,27 @@ def _cycle(words: list[str]) -> bool:
     return len(set(plain)) > 1 and any(len(plain) >= max(8, 3 * n) and plain[n:] == plain[:-n] for n in range(2, 6))
 
 
+def _messages(line: str) -> set[str]:
+    """Failed values, errors and notices in a short line or in a sentence of a long one."""
+    kinds: set[str] = set()
+    low = line.lower()
+    body = line.rpartition(" | ")[2].strip() if " | " in line else line
+    if any(k in line for k in _VALUE_SIGNS):
+        for m in _VALUE.finditer(line):
+            alone = m[0] == line.strip(" .,:;!?()[]\"'")
+            after = line[m.end() : m.end() + 1]
+            english = m[0] == "None" and (m.start() == 0 and not alone and after == " " or re.match(r"\s+(?:of|but|other|too|the|was|were|is|are|could|would|had|has|can|will|knew|came|saw|ever|dared|spoke)\b", line[m.end() :], _I))
+            if not english and not _outside(line, m):
+                kinds.add("value")
+    if _TRACE.match(line) or _STATUS.match(body):
+        kinds.add("error")
+    elif (_FAILED.match(body) or _FAILED_END.search(body)) and (body is not line or not _TELLS.search(body)):
+        kinds.add("error")
+    if _SCRIPT.search(low) and _TURN_ON.search(body) and not _TELLS.search(body):
+        kinds.add("script")
+    return kinds
+
+
 def line_kinds(line: str) -> set[str]:
     """What stands in place of content in a line: placeholder, value, filler, error, script."""
     line = line.strip()
@@ -172,7 +198,7 @@ def line_kinds(line: str) -> set[str]:
         kinds.add("filler")
     if _OPENERS.search(line):
         for m in _SLOT.finditer(line):
-            if not _outside(line, m) and not (m[0] in ("%s", "%d") and len(line) > MESSAGE):
+            if not _outside(line, m):
                 kinds.add("placeholder")
         for m in _BRACKET.finditer(line):
             inner = m["in"]
@@ -182,22 +208,12 @@ def line_kinds(line: str) -> set[str]:
                 kinds.add("placeholder")
         if _OBJECT.search(line):
             kinds.add("value")
-    if len(line) > MESSAGE:
-        return kinds
-    body = line.rpartition(" | ")[2].strip() if " | " in line else line
-    if any(k in line for k in _VALUE_SIGNS):
-        for m in _VALUE.finditer(line):
-            alone = m[0] == line.strip(" .,:;!?()[]\"'")
-            after = line[m.end() : m.end() + 1]
-            english = m[0] == "None" and (m.start() == 0 and not alone and after == " " or re.match(r"\s+(?:of|but|other|too|the|was|were|is|are|could|would|had|has|can|will|knew|came|saw|ever|dared|spoke)\b", line[m.end() :], _I))
-            if not english and not _outside(line, m):
-                kinds.add("value")
-    if _TRACE.match(line) or _STATUS.match(body):
-        kinds.add("error")
-    elif (_FAILED.match(body) or _FAILED_END.search(body)) and (body is not line or not _TELLS.search(body)):
-        kinds.add("error")
-    if _SCRIPT.search(low) and _TURN_ON.search(body) and not _TELLS.search(body):
-        kinds.add("script")
+    if len(line) <= MESSAGE:
+        return kinds | _messages(line)
+    for sentence in _SENTENCE.split(line):
+        sentence = sentence.strip(_QUOTES)
+        if not (_NARRATED.match(sentence) and not _PAGE.search(sentence)):
+            kinds |= _messages(sentence.rstrip(".") if sentence[:1].isalpha() else sentence)
     return kinds
 
 
