@@ -95,3 +95,19 @@ def test_long_lines_are_read_by_sentences(said, kind):
 @pytest.mark.parametrize("said", ["We could not open the door.", "There was a problem with the roof.", "450 people came.", "None of them spoke.", "A mark such as undefined is only a word."])
 def test_stories_in_long_lines_are_harmless(said):
     assert residue.line_kinds(PROSE * 2 + said + " " + PROSE) == set()
+
+
+@pytest.mark.parametrize("line", [
+    "Please enable JavaScript to continue reading this story.", "The page of this story was not found.", "No tiene acceso a esta cuenta.", "Você não tem acesso a esta conta.", "This story requires JavaScript.",
+    "Para usar su cuenta, active JavaScript en el navegador.", "You do not have access to this account.", "Your session has expired. Sign in to read the lesson.", "この物語を読むにはJavaScriptを有効にしてください。", "To hear this chapter read by Anna, please enable JavaScript.",
+])
+def test_messages_that_name_a_story_or_account(line):
+    assert residue.line_kinds(line)
+
+
+@pytest.mark.parametrize("line", [
+    "The page was not found, says Jo, and laughs.", "“Access denied”, says the old clerk.", "Jo explains that you should please enable JavaScript first.", "Ana cuenta que la página necesita JavaScript.", "Paul dit que le site nécessite JavaScript.",
+    "The lesson on JavaScript is read by Jo, who says that scripts must be enabled before the example runs.", "Öğretmen JavaScript etkinleştirin diyor.",
+])
+def test_messages_that_are_told(line):
+    assert not residue.line_kinds(line)
