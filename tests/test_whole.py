@@ -1,13 +1,18 @@
 """Queries over rows that DuckDB cannot say the same of, against brute force."""
 
 import html
+import json
 import re
 import unicodedata
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from voxloom.functions import rewards, text, tokens
 from voxloom.functions.text import word_distance
-from voxloom.plans import queries
+from voxloom.plans import protocols, queries
+from voxloom.sources import files
 
 
 def said(t, characters=False):
@@ -62,3 +67,27 @@ def test_plain_quotes_of_every_request(spark, tmp_path):
     d = save(spark, tmp_path, "synthesis_request", rows, "request_id long, text string")
     got = {r.request_id: r.plain for r in queries.queries()["h8_all_plain_quotes"](spark, d).collect()}
     assert got == {1: '"doctor Smith" - professor Lee...', 2: "mister and missus X", 3: "the shmr. stays", 4: None, 5: "a b"}
+
+
+def test_detected_events(spark, tmp_path):
+    rows = [(1, 2, 0.07, 0.09), (1, 1, 0.06, 0.01), (2, 1, 0.01, 0.02), (3, 1, 0.05, 0.05)]
+    d = save(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_discount double, l_tax double")
+    got = sorted((r.l_orderkey, r.start, r.type) for r in queries.queries()["e12_detected_events"](spark, d).collect())
+    assert got[:2] == [(1, 1.0, "Joy"), (1, 2.0, "anger")] and [r[:2] for r in got[2:]] == [(3, 1.0)]
+
+
+def test_labels_components_and_lexicon(spark, tmp_path):
+    df = spark.createDataFrame([("en_GB", "JOY", 0.5, True), ("xx", "fear", None, True), (None, None, 0.5, False)], "l string, e string, v double, ok boolean")
+    got = df.select(text.language_name(F.col("l")), text.mapped_label(F.col("e"), {"Joy": "glad"}), rewards.component_or_invalid(F.col("v"), F.col("ok"))).collect()
+    assert [tuple(r) for r in got] == [("English", "glad", 0.5), (None, "fear", None), (None, None, -1.0)]
+    path = tmp_path / "lexicon.json"
+    path.write_text(json.dumps({"ab": "cd"}))
+    assert files.read_lexicon(str(path)) == {"ab": "cd"}
+    path.write_text("[1]")
+    with pytest.raises(TypeError):
+        files.read_lexicon(str(path))
+    layout = tokens.TokenLayout(100, 2, 3, 8)
+    assert layout.token_strings()[0] == "<custom_token_0>" and len(layout.token_strings()) == layout.added + 1
+    hook = type("H", (), {"name": "a"})()
+    with pytest.raises(ValueError):
+        protocols.independent(hook, hook)

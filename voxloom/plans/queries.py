@@ -824,6 +824,15 @@ def k7_class_scores(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"), rewards.top_label(listed).alias("top"), rewards.first_over(listed, 0.05).alias("first"))
 
 
+@query()
+def e12_detected_events(s, d):
+    """Lines of an order as windows with a score for each of two labels."""
+    pair = lambda k, v: F.struct(F.lit(k).alias("label"), F.col(v).cast("double").alias("score"))
+    w = F.struct(F.col("l_linenumber").cast("double").alias("start"), F.array(pair("Joy", "l_discount"), pair("anger", "l_tax")).alias("scores"))
+    g = table(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(w)).alias("windows"))
+    return g.select("l_orderkey", F.explode(measures.detected_events(F.col("windows"), 0.05)).alias("e")).select("l_orderkey", "e.*")
+
+
 # composite: events of different users aligned, long texts with their events
 
 
