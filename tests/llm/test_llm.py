@@ -3,6 +3,7 @@
 import json
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -241,14 +242,42 @@ def test_pack_table(spark):
 # 5: pieces
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=" \n\t,.;!?ab1Zç猫。、<>-( ", max_size=220), st.integers(4, 40), st.integers(0, 3))
+@settings(max_examples=600, deadline=None)
+@given(st.text(alphabet=" \n\t,.;!?ab1Zç猫。、<>-( #/\u0301", max_size=220), st.integers(4, 40), st.integers(0, 3))
 def test_pieces_cover_the_text(text, limit, overlap):
     got = splitting.pieces(text, limit, overlap)
     assert "".join(t[s - b :] for b, s, e, _, t in got) == text
     assert all(len(t) <= limit and text[b:e] == t and s - b <= overlap for b, s, e, _, t in got)
-    run = max((len(r) for r in re.findall(r"[^\s" + re.escape(",.;!?。、-(") + "]+", text)), default=0)
+    run = max((len(r) for r in re.findall(r"[^\s" + re.escape(",.;!?。、-(#/") + "]+", text)), default=0)
     assert any(k == "hard" for *_, k, _ in got) == (run > limit)
+    tags = [m.span() for m in re.finditer(r"<[^<>\n]+>", text) if len(m[0]) <= max(1, limit - overlap)]
+    assert not any(a < cut < b for _, s, e, _, _ in got for cut in (s, e) for a, b in tags)
+
+
+def test_tags_are_edges_and_stay_whole():
+    event = "<nar_event type=sob duration=short count=1>"
+    assert splitting.spans("a" * 230 + event) == [(0, 230, "mark"), (230, 273, "end")]  # no run is above the limit
+    text = "ab " * 133 + "<nar_control emotion=joy intensity=0.5>" + "cd " * 100
+    assert sum("<nar_control emotion=joy intensity=0.5>" in t for *_, t in splitting.pieces(text)) >= 1
+    assert not any(text.index("<") < s < text.index(">") + 1 for _, s, *_ in splitting.pieces(text))
+    assert [k for *_, k in splitting.spans("a" * 259 + "<i>" + "b" * 9)][0] == "hard"  # 263 letters and signs in a row
+    assert all(not t.startswith("\u0301") for *_, t in splitting.pieces("e\u0301" * 400, 101, 0))
+
+
+def test_a_tree_by_headings_lists_and_markup():
+    text = "# A\n" + "a b. " * 6 + "\n## A1\n" + "c d. " * 6 + "\n## A2\n" + "e f. " * 2 + "\n# B\n" + "g h. " * 2
+    assert [t[:4].strip() for *_, t in splitting.pieces(text, 50, 0)] == ["# A", "## A", "## A", "# B"]  # A2 and B have no parent in common below the root
+    text = "Intro\n- one\n  - under one\n\n  - more under one\n- two\n\nAfter the list."
+    assert [t.strip() for *_, t in splitting.pieces(text, 48, 0)] == ["Intro\n- one\n  - under one\n\n  - more under one", "- two", "After the list."]
+    text = "<doc><sec>" + "a b. " * 5 + "</sec><sec>" + "c d. " * 5 + "</sec><br></doc> tail"
+    assert [t[-6:] for *_, t in splitting.pieces(text, 50, 0)] == ["</sec>", "</doc>", " tail"]
+
+
+def test_long_texts_take_linear_time():
+    began = time.perf_counter()
+    for text in ("word <b> and more. " * 10_000, "<i>x " * 20_000 + "</i> " * 20_000, "- a\n" + "".join(" " * i + "- item\n" for i in range(600))):
+        assert sum(e - s for _, s, e, _, _ in splitting.pieces(text)) == len(text)
+    assert time.perf_counter() - began < 20
 
 
 def test_natural_boundaries():

@@ -95,6 +95,13 @@ def p5_found(s, d):
     return splitting.found(p5_pieces(s, d))
 
 
+def p5_rebuilt(s, d):
+    """Texts put together from what is new in their pieces, and how many pieces are too long."""
+    each = F.struct("piece_no", F.expr("substr(piece, start - begin + 1)").alias("new"))
+    rebuilt = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda x: x["new"]), "")  # the pieces of one text
+    return p5_pieces(s, d).groupBy("request_id").agg(F.md5(rebuilt).alias("digest"), F.count_if(F.length("piece") > 260).alias("too_long"))
+
+
 def p6_found(s, d):
     return dedup.found(dedup.duplicate_sets(table(s, d, "manifest", "row_no", "text", "speaker", "extra")))
 
@@ -156,7 +163,7 @@ def p9_clean(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_incremental, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p4_found, p4_places, p4_fill, p4_containers,
-        p5_found, p5_pieces, p6_found, p6_collapsed, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
+        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
 
@@ -204,6 +211,7 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": p3,
         "p4_found": "SELECT row_no FROM expressive WHERE len(input_ids) > 8192",
         "p5_found": r"SELECT request_id FROM synthesis_request WHERE regexp_matches(text, '[^\p{P}\p{Z}\s\x0B\x1C-\x1F\x{85}]{261}')",
+        "p5_rebuilt": "SELECT request_id, md5(text) AS digest, 0 AS too_long FROM synthesis_request WHERE text <> ''",
         "p6_found": p6,
         "p7_found": p7,
         "p8_found": """SELECT w.source FROM source_weight w LEFT JOIN (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source) d USING (source)
