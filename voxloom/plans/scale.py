@@ -11,6 +11,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,35 +24,81 @@ SALTS = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that all executors share; one of our own only where none is set."""
+    """Folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a
+    folder of our own on a local master; elsewhere that is an error, since executors
+    would write to disks that others don't see."""
     sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        if not sc.getCheckpointDir():
-            own = tempfile.mkdtemp(prefix="voxloom-")
-            atexit.register(shutil.rmtree, own, True)
-            sc.setCheckpointDir(own)
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="voxloom-")
+        atexit.register(shutil.rmtree, own, True)
+        sc.setCheckpointDir(own)
         where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
-def _forget(spark: SparkSession, path: str) -> None:
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of the Hadoop API, for any scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none where it does not exist."""
+    fs, p = file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
+_live: dict[str, SparkSession] = {}
+
+
+def _forget(path: str) -> None:
+    spark = _live.pop(path, None)
     try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        fs, p = file_system(spark, path)
+        fs.delete(p, True)
     except Exception:  # the session may be gone; the folder is the cluster's to clean
         pass
 
 
+@atexit.register
+def _forget_all() -> None:
+    for path in list(_live):
+        _forget(path)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
-    a lost executor costs nothing but a re-read."""
+    a lost executor costs nothing but a re-read. The table goes with :func:`free`, at
+    the end of a :func:`scratch`, or at exit."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}/{name}"
+    _live[path.rpartition("/")[0]] = spark
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._voxloom_path = path.rpartition("/")[0]
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for t in tables:
+        if path := getattr(t, "_voxloom_path", None):
+            _forget(path)
+
+
+@contextmanager
+def scratch():
+    """Deletes at its end the tables that were :func:`written` within: put the query and
+    the action on its result inside."""
+    before = set(_live)
+    try:
+        yield
+    finally:
+        for path in set(_live) - before:
+            _forget(path)
 
 
 def hot_keys(counts: DataFrame, total: int, n: str = "n", share: float = HOT_SHARE, least: int = 10_000) -> DataFrame:
