@@ -57,7 +57,7 @@ def random_examples(n, seed, speakers=12, texts=25):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_groups_are_closed(spark, seed):
     rows = random_examples(40, seed, 30, 30)
-    got, _ = components.components(keys(spark, rows))
+    got = components.components(keys(spark, rows))
     assert {r.example_id: r.group_id for r in got.collect()} == groups_of(rows)
     want, own = groups_of(rows), defaultdict(set)
     for e, s, _ in rows:
@@ -85,12 +85,62 @@ def test_deliveries_keep_their_splits(spark):
     two = {r.example_id: (r.group_id, r.split, r.status) for r in second.collect()}
     assert two[5] == (5, one[10][1], "kept") and two[40][:2] == two[41][:2] and two[40][2] == "new"
     third, store3 = components.assign(keys(spark, [(50, "A", "t2"), (51, "d", "t9")]), store2, shares={"train": 0.5, "test": 0.5})
-    three = {r.example_id: (r.split, r.status) for r in third.collect()}
-    assert three == {50: (None, "quarantine"), 51: (None, "quarantine")}
-    before, after = ({r.key: (r.component, r.split) for r in s.collect()} for s in (store2, store3))
-    assert before == after
+    three = {r.example_id: (r.group_id, r.split, r.status) for r in third.collect()}
+    assert three == {50: (5, None, "quarantine"), 51: (5, None, "quarantine")}
+    before, after = ({bytes(r.key): (r.part, r.split) for r in s.keys.collect()} for s in (store2, store3))
+    new = {k: v for k, v in after.items() if k not in before}
+    assert before.items() <= after.items() and len(new) == 1 and list(new.values())[0][1] is None  # the parts keep their splits, the new key is held
     empty, store4 = components.assign(keys(spark, [(1, "a", "a")]).limit(0), store3)
-    assert empty.count() == 0 and store4.count() == store3.count()
+    assert empty.count() == 0 and store4.keys.count() == store3.keys.count()
+    # rows with a held key are quarantined too; those of a part alone go on as before
+    fourth, store5 = components.assign(keys(spark, [(60, "d", None), (61, "a", None), (62, None, "t2"), (63, "D.", "t44")]), store4, shares={"train": 0.5, "test": 0.5})
+    four = {r.example_id: (r.group_id, r.split, r.status) for r in fourth.collect()}
+    assert four == {60: (5, None, "quarantine"), 63: (5, None, "quarantine"), 61: (5, one[10][1], "kept"), 62: (5, one[20][1], "kept")}
+    assert {r.example_id: r.group_id for r in components.members(store5).collect()} == groups_of([*rows, *more, (50, "A", "t2"), (51, "d", "t9"), (60, "d", None), (61, "a", None), (62, None, "t2"), (63, "D.", "t44")])
+
+
+def test_counts_of_splits(spark):
+    rows = [(i, f"s{i // 2}", None) if i < 200 else (i, None, None) for i in range(400)]
+    half = {"train": 0.5, "test": 0.5}
+    out, store = components.assign(keys(spark, rows), shares=half)
+    first = {r.example_id: r.split for r in out.collect()}
+    assert {r.split: r.n for r in store.totals.collect()} == Counter(first.values()) and sum(Counter(first.values()).values()) == 400
+    # all once more, one of them twice, and a keyless one now with a key
+    out, store2 = components.assign(keys(spark, [*rows[:399], rows[0], (399, "late", None)]), store, shares=half)
+    again = {r.example_id: (r.split, r.status) for r in out.collect()}
+    assert {e: s for e, (s, _) in again.items()} == first and {x for _, x in again.values()} == {"kept"} and out.count() == 401
+    assert {r.split: r.n for r in store2.totals.collect()} == Counter(first.values())
+    out, store3 = components.assign(keys(spark, [(500, "late", None), (501, "s1", "tie"), (502, None, "tie"), (0, "s7", None)]), store2, shares=half)
+    got = {r.example_id: (r.group_id, r.split, r.status) for r in out.collect()}
+    assert got[500] == (399, first[399], "kept") and got[501] == got[502] == (2, first[2], "kept")
+    assert got[0] == (0, first[0], "kept") if first[0] == first[14] else got[0] == (0, None, "quarantine")  # 0 came as s0 before
+    want = Counter(first.values())
+    want.update([first[399], first[2], first[2]])
+    assert {r.split: r.n for r in store3.totals.collect()} == want and store3.members.select("example_id").distinct().count() == 403
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_table_on_disk_over_deliveries(spark, tmp_path, seed):
+    r = random.Random(seed)
+    rows = random_examples(90, seed, 40, 40)
+    path, all_, splits = f"file:{tmp_path}/table", [], {}
+    assert components.stored(spark, path) is None
+    for part in (rows[:30], rows[30:60] + r.sample(rows[:30], 10), rows[60:] + r.sample(rows[:60], 10)):
+        got = components.deliver(keys(spark, part), path).collect()
+        all_ += [x for x in part if x not in all_]
+        want = groups_of(all_)
+        assert {x.example_id: x.group_id for x in got} == {e: want[e] for e, _, _ in part}
+        for x in got:  # what has a split keeps it, or is quarantined by a later tie
+            assert x.split is None or splits.setdefault(x.example_id, x.split) == x.split
+        own = defaultdict(set)
+        for e, speaker, text in all_:
+            for k in (("s", bare(speaker)) if bare(speaker) != "unknown" else None, ("t", bare(text))):
+                if k and k[1] and e in splits:
+                    own[k].add(splits[e])
+        assert all(len(x) == 1 for x in own.values())
+    state = components.stored(spark, path)
+    assert {x.example_id: x.group_id for x in components.members(state).collect()} == groups_of(all_)
+    assert {x.split: x.n for x in state.totals.collect()} == Counter(splits.values())
 
 
 def test_shares_are_met(spark):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import components, contamination, dedup, languages, mixture, packing, residue, sampling, splitting
-from voxloom.plans.scale import written
+from voxloom.plans.scale import shared_dir, written
 from voxloom.sources.tables import table
 
 
@@ -16,22 +17,49 @@ def _keys(s: SparkSession, d: str) -> DataFrame:
     return components.example_keys(table(s, d, "grpo_example", "example_id", "clip_id", "reference_text"), table(s, d, "expressive", "id", "speaker"))
 
 
+def _table(s: SparkSession) -> str:
+    """A new component table in the shared folder."""
+    return f"{shared_dir(s)}/voxloom-components-{uuid.uuid4().hex}"
+
+
 def p1_found(s, d):
-    groups, _ = components.components(_keys(s, d))
-    return components.found(groups)
+    """From the component table of one delivery, as it was persisted."""
+    path = _table(s)
+    components.deliver(_keys(s, d), path)
+    return components.found(components.members(components.stored(s, path)))
 
 
 def p1_splits(s, d):
-    return components.assign(_keys(s, d))[0]
+    return components.deliver(_keys(s, d), _table(s))
 
 
-def p1_incremental(s, d):
-    """Hard cases arrive as a second delivery."""
-    hard = table(s, d, "grpo_example", "example_id", F.coalesce("hard_case", F.lit(False)).alias("hard"))
+def _two(s, d):
+    """Hard cases arrive as a second delivery, together with every row of the first that
+    has no clip once more."""
+    hard = table(s, d, "grpo_example", "example_id", F.coalesce("hard_case", F.lit(False)).alias("hard"), F.col("clip_id").isNull().alias("twice"))
     keys = written(_keys(s, d).join(hard, "example_id"), "deliveries")
-    first, store = components.assign(keys.filter("not hard").drop("hard"))
-    second, _ = components.assign(keys.filter("hard").drop("hard"), store)
-    return first.withColumn("delivery", F.lit(1)).unionByName(second.withColumn("delivery", F.lit(2)))
+    path = _table(s)
+    first = components.deliver(keys.filter("not hard").drop("hard", "twice"), path)
+    second = components.deliver(keys.filter("hard or twice").drop("hard", "twice"), path)
+    return path, keys, first.withColumn("delivery", F.lit(1)).unionByName(second.withColumn("delivery", F.lit(2)))
+
+
+def p1_incremental(s, d):
+    return _two(s, d)[2]
+
+
+def p1_closed(s, d):
+    """Groups of the component table after both deliveries."""
+    path, _, _ = _two(s, d)
+    return components.members(components.stored(s, path)).select("example_id", "group_id")
+
+
+def p1_together(s, d):
+    """Keys of the examples and the splits that their examples got in either delivery."""
+    _, keys, both = _two(s, d)
+    splits = both.groupBy("example_id").agg(F.max("split").alias("split"), F.max("delivery").alias("delivery"))
+    sides = keys.join(splits, "example_id").select(F.explode(F.array("skey", "tkey")).alias("key"), "split").filter("key is not null")
+    return sides.groupBy("key").agg(F.count(F.lit(1)).alias("n_examples"), (F.count_distinct("split") <= 1).alias("together")).select(F.hex("key").alias("key"), "n_examples", "together")
 
 
 def p1_shares(s, d):
@@ -162,7 +190,7 @@ def p9_clean(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_incremental, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p4_found, p4_places, p4_fill, p4_containers,
+        p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p4_found, p4_places, p4_fill, p4_containers,
         p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
@@ -180,11 +208,13 @@ def oracle_sql() -> dict[str, str]:
     p1 = f"""
     WITH RECURSIVE sp AS (SELECT id, max(speaker) AS speaker FROM expressive WHERE id IS NOT NULL GROUP BY id),
     k AS (SELECT g.example_id AS e, CASE WHEN {_bare("sp.speaker")} NOT IN ('', 'unknown') THEN {_bare("sp.speaker")} END AS s, nullif({_bare("g.reference_text")}, '') AS t
-          FROM grpo_example g LEFT JOIN sp ON sp.id = g.clip_id),
+          FROM grpo_example g LEFT JOIN sp ON sp.id = g.clip_id)"""
+    p1_groups = p1 + """,
     b AS (SELECT e, s, min(e) OVER (PARTITION BY coalesce('s' || s, 'e' || e)) AS ms, min(e) OVER (PARTITION BY coalesce('t' || t, 'e' || e)) AS mt FROM k),
     edge AS (SELECT DISTINCT e AS a, ms AS b FROM b UNION SELECT DISTINCT e, mt FROM b UNION SELECT ms, e FROM b UNION SELECT mt, e FROM b),
     reach(root, node) AS (SELECT e, e FROM b UNION SELECT r.root, x.b FROM reach r JOIN edge x ON x.a = r.node WHERE r.root <= x.b),
-    g AS (SELECT node AS e, min(root) AS group_id FROM reach GROUP BY node),
+    g AS (SELECT node AS e, min(root) AS group_id FROM reach GROUP BY node)"""
+    p1_cases = p1_groups + """,
     c AS (SELECT g.group_id FROM g JOIN b USING (e) GROUP BY g.group_id HAVING count(DISTINCT coalesce(s, '')) > 1)
     SELECT e AS example_id, group_id FROM g WHERE group_id IN (SELECT group_id FROM c)"""
     p3 = rf"""
@@ -207,7 +237,9 @@ def oracle_sql() -> dict[str, str]:
     sd AS (SELECT DISTINCT doc_id, substring(b, p, 60) AS w FROM (SELECT doc_id, b, unnest(range(1, length(b) - 58)) AS p FROM d WHERE length(b) >= 60))
     SELECT DISTINCT doc_id, item_id FROM sd JOIN si USING (w)"""
     return {
-        "p1_found": p1,
+        "p1_found": p1_cases,
+        "p1_closed": p1_groups + " SELECT e AS example_id, group_id FROM g",
+        "p1_together": p1 + " SELECT upper(md5(key)) AS key, count(*) AS n_examples, true AS together FROM (SELECT unnest([coalesce('s' || s, ''), coalesce('t' || t, '')]) AS key FROM k) WHERE key <> '' GROUP BY 1",
         "p3_found": p3,
         "p4_found": "SELECT row_no FROM expressive WHERE len(input_ids) > 8192",
         "p5_found": r"SELECT request_id FROM synthesis_request WHERE regexp_matches(text, '[^\p{P}\p{Z}\s\x0B\x1C-\x1F\x{85}]{261}')",
