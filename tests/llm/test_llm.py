@@ -202,6 +202,36 @@ def test_held_out_languages(spark, sf):
     assert [p[2:] for p in languages.passages(none, "some text")] == [("und", 0.0)]
 
 
+def test_other_languages_are_unknown(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")  # 60 documents a language
+    noisy = spark.read.parquet(f"{sf}/grpo_example.parquet").select(F.col("example_id").alias("doc_id"), F.col("target_text").alias("text"), F.col("language").alias("lang"))
+    m = languages.train(spark.read.parquet(f"{sf}/documents.parquet"), noisy=noisy)
+    known = {
+        "en": "This morning I went to the market and bought many fresh vegetables for dinner tonight.", "de": "Heute Morgen bin ich zum Markt gegangen und habe viel frisches Gemüse für das Abendessen gekauft.",
+        "fr": "Ce matin je suis allé au marché et j'ai acheté beaucoup de légumes frais pour le dîner.", "es": "Esta mañana fui al mercado y compré muchas verduras frescas para la cena de esta noche.",
+        "pt": "Esta manhã fui ao mercado e comprei muitos legumes frescos para o jantar desta noite.", "nl": "Vanochtend ging ik naar de markt en kocht veel verse groenten voor het avondeten.",
+        "tr": "Bu sabah pazara gittim ve akşam yemeği için çok taze sebze aldım.", "ru": "Сегодня утром я пошёл на рынок и купил много свежих овощей на ужин.", "ja": "今朝、私は市場に行って、夕食のためにたくさんの新鮮な野菜を買いました。",
+    }
+    other = [
+        "Questa mattina sono andato al mercato e ho comprato molte verdure fresche per la cena di stasera.", "Dzisiaj rano poszedłem na targ i kupiłem dużo świeżych warzyw na dzisiejszą kolację.", "I morges gik jeg på markedet og købte mange friske grøntsager til aftensmaden i aften.",
+        "I morse gick jag till marknaden och köpte många färska grönsaker till kvällens middag.", "今天早上我去市场买了很多新鲜蔬菜准备晚饭。", "Σήμερα το πρωί πήγα στην αγορά και αγόρασα πολλά φρέσκα λαχανικά.", "Tänä aamuna kävin torilla ja ostin paljon tuoreita vihanneksia illalliseksi.",
+        "Ma reggel elmentem a piacra és sok friss zöldséget vettem vacsorára.", "Dnes ráno jsem šel na trh a koupil jsem hodně čerstvé zeleniny k večeři.", "Astăzi dimineață am mers la piață și am cumpărat multe legume proaspete pentru cină.", "오늘 아침에 시장에 가서 저녁에 먹을 신선한 채소를 많이 샀어요.",
+        "ذهبت هذا الصباح إلى السوق واشتريت الكثير من الخضروات الطازجة.", "Сьогодні вранці я пішов на ринок і купив багато свіжих овочів на вечерю.", "Тази сутрин отидох на пазара и купих много пресни зеленчуци за вечеря.", "Tadi pagi saya pergi ke pasar dan membeli banyak sayuran segar untuk makan malam.",
+        "Sáng nay tôi đi chợ và mua rất nhiều rau tươi cho bữa tối.", "הבוקר הלכתי לשוק וקניתי הרבה ירקות טריים.", "आज सुबह मैं बाज़ार गया और बहुत सारी ताज़ी सब्ज़ियाँ खरीदीं।", "เช้านี้ฉันไปตลาดและซื้อผักสดมากมาย", "დღეს დილით ბაზარში წავედი და ბევრი ბოსტნეული ვიყიდე.",
+    ]
+    unknown = [languages.passages(m, t)[0][2] == "und" for t in other]
+    assert [languages.passages(m, t)[0][2] for t in known.values()] == list(known) and np.mean(unknown) >= 0.9
+    mixed = languages.passages(m, f"{known['en']} {other[0]} {known['de']}")
+    assert [p[2] for p in mixed] == ["en", "und", "de"] and all(0 < p[3] <= 1 for p in mixed)
+
+
+def test_length_of_a_text_is_no_switch(model):
+    for k, t in SENTENCES.items():
+        words = t.split()[:3] if k != "ja" else [t[:9]]
+        short = " ".join(words)
+        assert languages.passages(model, short)[0][2] == languages.passages(model, short + " " * 60)[0][2] == k
+
+
 def test_segments_table(spark, model):
     df = spark.createDataFrame([(1, SENTENCES["de"], "de"), (2, SENTENCES["de"], "English"), (3, None, None), (1, SENTENCES["de"], "de_AT")], "example_id int, target_text string, language string").withColumn("seg_no", F.lit("clash"))
     segs = languages.segments(df, model)
@@ -511,6 +541,13 @@ def test_tokens(spark):
     df = spark.createDataFrame([("hello world",), ("",), (None,), ("a\n" * 150_000,)], "t string")
     got = [r.n for r in df.select(mixture.token_count(F.col("t"), "/opt/tokenizers/byte_bpe_50k.tiktoken").alias("n")).collect()]
     assert got[0] == 2 and got[1:3] == [0, 0] and got[3] >= 150_000
+    import base64
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open("/opt/tokenizers/byte_bpe_50k.tiktoken", "rb"))}
+    whole = tiktoken.Encoding("own", pat_str=mixture.SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    r = random.Random(2)
+    texts = ["".join(r.choice(["a", "word", " ", "\n", "  ", "'s", "12", "!", "\n\n", "é"]) for _ in range(400)) for _ in range(40)]
+    assert all(sum(len(whole(p)) for p in mixture._parts(t, 30)) == len(whole(t)) for t in texts) and any(len(list(mixture._parts(t, 30))) > 5 for t in texts)
 
 
 # 9: residue

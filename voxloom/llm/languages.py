@@ -3,7 +3,9 @@
 Character n-gram models, trained here on a bounded sample of labelled rows, give each
 sentence-like unit a likelihood in each language. Expectation-maximisation estimates
 the proportions of the languages in a document; the set of languages is selected by
-penalised likelihood, adding a language only where it gains more than the penalty.
+penalised likelihood, adding a language only where it gains more than the penalty. A
+background model, single letters by script, competes with the same penalty: a passage
+that it explains better than any language is in none of them (``und``).
 """
 
 from __future__ import annotations
@@ -32,13 +34,17 @@ CUT = 14.0
 #: A unit whose languages differ by less, or of a single word, goes with its neighbours.
 WEAK = 4.0
 #: Most that a word can tell two languages apart: one that the training sample knows,
-#: and one that it doesn't. Capitalised words that it doesn't know are taken for names
+#: and one that it doesn't; all that it can where that leaves the languages nearly equal. Capitalised words that it doesn't know are taken for names
 #: and tell nothing, nor do katakana.
 KNOWN, UNKNOWN = 8.0, 2.0
 #: Labelled texts up to this length make a stratum of their own in the training sample.
 SHORT = 40
+#: A letter that the training sample doesn't hold has, within its script, the probability
+#: of one of twice as many as it holds of that script, or of twice this number.
+ALPHABET = 50
+UNKNOWN_LANGUAGE = "und"
 
-_TAG = re.compile(r"<[^<>\n]{1,300}>")
+_TAG = re.compile(r"<[^<>\n]+>")
 _UNIT = re.compile(r"[^.!?…。！？\n\r()\[\]{}«»“”„‟‹›「」『』\"|—–]+[.!?…。！？]*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _KATAKANA = re.compile(r"[ァ-ヿㇰ-ㇿ]")
@@ -49,13 +55,26 @@ def _folded(t: str) -> str:
     return t.replace("İ", "i").lower()
 
 
+def _script(c: str) -> str:
+    """Latin, Cyrillic, kana, Han or another block of 256 letters."""
+    o = ord(c)
+    if o < 0x250 or 0x1E00 <= o < 0x1F00:
+        return "latin"
+    if 0x400 <= o < 0x530:
+        return "cyrillic"
+    if _WIDE.match(c):
+        return "kana" if 0x3040 <= o < 0x3100 else "han"
+    return str(o >> 8)
+
+
 class Model:
     """Log probability of a character after up to three others, in each language."""
 
-    def __init__(self, languages: list[str], grams: dict[str, int], table: np.ndarray, floor: float, lexicon: frozenset[str]) -> None:
-        self.languages, self.grams, self.table, self.floor, self.lexicon = languages, grams, table, floor, lexicon
+    def __init__(self, languages: list[str], grams: dict[str, int], table: np.ndarray, floor: float, lexicon: frozenset[str], letters: dict[str, float]) -> None:
+        self.languages, self.grams, self.table, self.floor, self.lexicon, self.letters = languages, grams, table, floor, lexicon, letters
         self._words: dict[str, int] = {}
         self._rows = np.zeros((1024, len(languages)))
+        self._fits = np.zeros((1024, len(languages)))
 
     @classmethod
     def train(cls, rows: Iterable[tuple[str, str]]) -> Model:
@@ -101,10 +120,19 @@ class Model:
                     p[g] = (c[n][g] + k * lower) / (t + k) if t else lower
             for g, i in grams.items():
                 table[i, j] = math.log(p[g])
-        return cls(languages, grams, table.astype(np.float32), math.log(base), lexicon)
+        single: Counter = Counter()
+        for c in counts.values():
+            single.update(c[1])
+        scripts: Counter = Counter()
+        for g, k in single.items():
+            scripts[_script(g)] += k
+        own = {g: math.log(k / scripts[_script(g)]) if g != " " else math.log(k / single.total()) for g, k in single.items()}
+        kinds_ = Counter(_script(g) for g in single)
+        own |= {x: -math.log(2 * max(ALPHABET, k)) for x, k in kinds_.items()}  # names of scripts are longer than a letter
+        return cls(languages, grams, table.astype(np.float32), math.log(base), lexicon, own)
 
     def __getstate__(self):
-        return self.languages, self.grams, self.table, self.floor, self.lexicon
+        return self.languages, self.grams, self.table, self.floor, self.lexicon, self.letters
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -112,47 +140,55 @@ class Model:
     def _word(self, w: str) -> int:
         padded = f" {w} "
         rows = []
+        ground = 0.0  # what the background gives, less what no language knows
         for i in range(1, len(padded)):
+            ground += own if (own := self.letters.get(padded[i])) is not None else self.letters.get(_script(padded[i]), -math.log(2 * ALPHABET))
             for n in range(min(ORDER, i + 1), 0, -1):
                 if (at := self.grams.get(padded[i + 1 - n : i + 1])) is not None:
                     rows.append(at)
                     break
+            else:
+                ground -= self.floor
         if len(self._words) >= 200_000:  # memory stays bounded; no result depends on it
             self._words.clear()
         at = self._words[w] = len(self._words)
         if at >= len(self._rows):
             self._rows = np.concatenate([self._rows, np.zeros_like(self._rows)])
+            self._fits = np.concatenate([self._fits, np.zeros_like(self._fits)])
         likely = self.table[rows].sum(0)
         self._rows[at] = likely - likely.max() if rows else 0
+        self._fits[at] = likely - ground
         return at
 
-    def _told(self, words: list[str], folded: list[str], cased: bool, short: bool) -> np.ndarray:
-        """Log likelihoods of the words against that of their best language. A short text
-        has few words to speak for it: each may say more."""
+    def _told(self, words: list[str], folded: list[str], cased: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log likelihoods of the words against that of their best language: capped, and
+        in full; and against the background."""
         at = [self._words[w] if w in self._words else self._word(w) for w in folded]
         if len(self._words) < len(set(folded)):  # emptied on the way
             at = [self._words[w] if w in self._words else self._word(w) for w in folded]
-        most = np.array([KNOWN if f in self.lexicon else UNKNOWN for f in folded]) * (3 if short else 1)
-        rows = np.maximum(self._rows[at], -most[:, None])
+        most = np.array([KNOWN if f in self.lexicon else UNKNOWN for f in folded])
+        full, fits = self._rows[at], self._fits[at]
+        rows = np.maximum(full, -most[:, None])
         names = [i for i, (w, f) in enumerate(zip(words, folded)) if f not in self.lexicon and (cased and w[0].isupper() or _KATAKANA.match(w))]
         if names:
-            rows[names] = 0
-        return rows
+            rows[names] = full[names] = fits[names] = 0
+        return rows, full, fits
 
-    def units(self, text: str) -> tuple[list[tuple[int, int, int, bool]], np.ndarray]:
+    def units(self, text: str) -> tuple[list[tuple[int, int, int, bool]], np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, letters, single) of the units of a text and their log
-        likelihoods. Units are sentences, cut where two languages explain the words
-        before and after better than one does; single: no more than a word."""
+        likelihoods: of capped words, in full, against the background. Units are
+        sentences, cut where two languages explain the words before and after better
+        than one does; single: no more than a word."""
         if "<" in text:
             text = _TAG.sub(lambda m: " " * len(m[0]), text)
-        spans, likely = [], []
+        spans, likely, whole, fit = [], [], [], []
         cased = any(map(str.islower, text))
         for m in _UNIT.finditer(text):
             words = list(_PIECE.finditer(m[0]))
             if not words:
                 continue
             folded = [_folded(w[0]) for w in words]
-            rows = self._told([w[0] for w in words], folded, cased, len(text) <= SHORT)
+            rows, full, fits = self._told([w[0] for w in words], folded, cased)
             marks = [0, *self._switches(rows, 0, len(rows)), len(rows)]
             for a, b in zip(marks, marks[1:]):
                 letters = sum(map(len, folded[a:b]))
@@ -161,7 +197,10 @@ class Model:
                 end = m.start() + words[b].start() if b < len(words) else m.end()
                 spans.append((start, end, letters, letters < 6 if wide else b - a < 2))
                 likely.append(rows[a:b].sum(0))
-        return spans, np.array(likely).reshape(len(likely), len(self.languages))
+                whole.append(full[a:b].sum(0))
+                fit.append(fits[a:b].sum(0))
+        shape = len(likely), len(self.languages)
+        return spans, *(np.array(x).reshape(shape) for x in (likely, whole, fit))
 
     def _switches(self, rows: np.ndarray, a: int, b: int) -> list[int]:
         """Words at which the language of a unit changes: the best cut, if it gains
@@ -218,19 +257,26 @@ def passages(model: Model, text: str | None) -> list[tuple[int, int, str, float]
     """(start, end, language, confidence) of the passages of a text, in order.
 
     Neighbouring passages differ in language and together they cover the text. A text
-    without a letter, empty or null has one passage in ``und`` with confidence 0."""
+    without a letter, empty or null has one passage in ``und`` with confidence 0; a
+    passage that the background explains better than its language by more than
+    ``PENALTY`` is in ``und`` too: in a language that the model doesn't know."""
     if not text or not model.languages:
-        return [(0, len(text or ""), "und", 0.0)]
-    spans, likely = model.units(text)
+        return [(0, len(text or ""), UNKNOWN_LANGUAGE, 0.0)]
+    spans, likely, full, fit = model.units(text)
     if not spans:
-        return [(0, len(text), "und", 0.0)]
+        return [(0, len(text), UNKNOWN_LANGUAGE, 0.0)]
     many = np.array([not x[3] for x in spans])
     chosen = select(likely[many]) if many.any() else [int(likely.sum(0).argmax())]
     if len(chosen) == 1:
-        rest = likely.sum(0) - likely[:, chosen[0]].sum()
-        rest[chosen[0]] = -np.inf
-        other = float(rest.max()) if len(rest) > 1 else -np.inf
-        return [(0, len(text), model.languages[chosen[0]], 1 / (1 + math.exp(min(other, 700))))]
+        sums = likely.sum(0)
+        order = np.sort(sums)
+        if len(order) > 1 and order[-1] - order[-2] < WEAK:  # the words may say all they can
+            sums = full.sum(0)
+            chosen = [int(sums.argmax())]
+        own, known = chosen[0], float(fit[:, chosen[0]].sum())
+        if known < -PENALTY:
+            return [(0, len(text), UNKNOWN_LANGUAGE, _share([known, 0.0], 1))]
+        return [(0, len(text), model.languages[own], _share([*(sums - sums[own]), -known - PENALTY], own))]
     pi, _, post = proportions(likely[:, chosen])
     own = likely[:, chosen] + np.log(pi)
     best = own.argmax(1)
@@ -243,19 +289,32 @@ def passages(model: Model, text: str | None) -> list[tuple[int, int, str, float]
     for u in np.flatnonzero(~strong):
         around = [best[i] for i in (sure[sure < u][-1:].tolist() + sure[sure > u][:1].tolist())]
         best[u] = max(around, key=lambda k: own[u, k])
+    runs: list[list] = []  # start, end, language, probability, letters, fit
+    for (a, b, n, _), k, row, f in zip(spans, best, post, fit[:, chosen]):
+        if not (runs and runs[-1][2] == k):
+            runs.append([a, b, k, 0.0, 0, 0.0])
+        runs[-1][1] = b
+        for i, x in ((3, n * float(row[k])), (4, n), (5, float(f[k]))):
+            runs[-1][i] += x
     out: list[list] = []
-    for (a, b, n, _), k, row in zip(spans, best, post):
-        if out and out[-1][2] == k:
-            out[-1][1] = b
+    for a, b, k, p, n, f in runs:
+        lang, sure_ = (UNKNOWN_LANGUAGE, _share([f, 0.0], 1)) if f < -PENALTY else (model.languages[chosen[k]], p / n)
+        if out and out[-1][2] == lang:
+            m = out[-1][4]
+            out[-1][1:] = [b, lang, (out[-1][3] * m + sure_ * n) / (m + n), m + n]
         else:
-            out.append([a, b, k, 0.0, 0])
-        out[-1][3] += n * float(row[k])
-        out[-1][4] += n
+            out.append([a, b, lang, sure_, n])
     out[0][0] = 0
     for x, y in zip(out, out[1:]):
         x[1] = y[0]
     out[-1][1] = len(text)
-    return [(a, b, model.languages[chosen[k]], p / n) for a, b, k, p, n in out]
+    return [(a, b, lang, p) for a, b, lang, p, _ in out]
+
+
+def _share(logs: list[float], at: int) -> float:
+    """Share of one of several likelihoods in their sum."""
+    top = max(logs)
+    return math.exp(logs[at] - top) / sum(math.exp(x - top) for x in logs)
 
 
 def _drawn(src: DataFrame, rows: int) -> list[tuple[str, str]]:
@@ -291,9 +350,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
         lang_ = max(votes, key=lambda k: (votes[k], k))  # a text labelled in several ways counts for most
         if lang_ not in model.languages:
             continue
-        spans, likely = model.units(t)
+        spans, likely, full, _ = model.units(t)
         agreed = votes[lang_] >= 2 and 2 * votes[lang_] > sum(votes.values())
-        if len(t) <= SHORT and agreed or len(spans) == 1 and likely.max() - likely[0, model.languages.index(lang_)] < 6:
+        if len(t) <= SHORT and agreed or len(spans) == 1 and full.max() - full[0, model.languages.index(lang_)] < 6:
             sample += [(lang_, t)] * min(votes[lang_], 5)
     return Model.train(sample)
 

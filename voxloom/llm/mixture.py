@@ -9,16 +9,15 @@ documents are range-sorted by time.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxloom.plans.scale import bits_for, mixed, running, written
+from voxloom.plans.scale import bits_for, mixed, running, skew_join, written
 
-#: Most sources in the table of weights, which is a parameter held by the driver.
-MOST_SOURCES = 20_000
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Pattern that splits text before byte-pair merges: fixed, as public byte-level vocabularies are used.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -26,14 +25,21 @@ SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s
 
 def token_count(text: Column, path: str = TOKENIZER) -> Column:
     """Tokens of a text under the vocabulary file ``path`` (a tiktoken rank file);
-    null or empty text has 0. Whole texts are counted, in pieces cut at line ends
-    so that memory stays flat on very long ones."""
+    null or empty text has 0. Whole texts are counted, long ones in parts cut where the
+    tokenizer splits in any case, so that the count is that of the whole. The driver
+    sends the file to all executors."""
+    from pyspark import SparkFiles
+
+    sc = SparkSession.active().sparkContext
+    name = path.rpartition("/")[2]
+    if not any(x.rpartition("/")[2] == name for x in sc.listFiles):
+        sc.addFile(path)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 
-        with open(path, "rb") as f:
+        with open(SparkFiles.get(name), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         encode = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for x in batches:
@@ -42,13 +48,17 @@ def token_count(text: Column, path: str = TOKENIZER) -> Column:
     return count(text)
 
 
+#: Between a single line end and what follows no token of :data:`SPLIT` reaches.
+_BREAK = re.compile(r"(?<=\S)\n(?=[^\s'])")
+
+
 def _parts(t: str, at: int = 200_000) -> Iterator[str]:
+    """A text in parts of about ``at`` characters, cut only where no token goes across;
+    one without such a place is one part."""
     start = 0
-    while len(t) - start > at:
-        cut = t.rfind("\n", start, start + at) + 1 or start + at
-        cut = cut if cut > start else start + at
-        yield t[start:cut]
-        start = cut
+    while len(t) - start > at and (m := _BREAK.search(t, start + at)):
+        yield t[start : m.end()]
+        start = m.end()
     yield t[start:]
 
 
@@ -83,35 +93,44 @@ def plan(sizes: DataFrame, weights: DataFrame, schedules: Mapping[str, Sequence[
     """(report, plan, T) from documents (doc_id, source, size).
 
     report: (source, docs, size, target_bp, max_repeat, wanted, given, reached_bp,
-    short): ``wanted`` is the source's share of T, the size of all documents;
+    runs_out_at, short): ``wanted`` is the source's share of T, the size of all documents;
     ``given`` what it gives when its documents are used at most max_repeat times;
-    ``reached_bp`` its share of all that is given. A source that is not found gives
-    nothing. Sources that are not in ``weights``, and documents without one, count
-    in T and give nothing. Null weights count as 0; a source named twice is an error."""
+    ``reached_bp`` its share of all that is given; ``runs_out_at`` the time in [0, 1] at
+    which its demand reaches its supply, short if that is before the end. A source that is
+    not found gives nothing. Sources that are not in ``weights``, and documents without
+    one, count in T and give nothing. Null weights count as 0; a source named twice is an
+    error. Documents are summed by source first; the tables of sources are joined."""
     wanted = weights.filter("source is not null").select("source", F.coalesce("target_bp", F.lit(0)).cast("long").alias("target_bp"), F.coalesce("max_repeat", F.lit(0)).cast("long").alias("max_repeat"))
-    listed = wanted.limit(MOST_SOURCES + 1).collect()
-    if len(listed) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    if len({r["source"] for r in listed}) < len(listed):
+    wanted = written(wanted, "weights")
+    if not wanted.groupBy("source").count().filter("count > 1").isEmpty():
         raise ValueError("a source has two weights")
-    spark = sizes.sparkSession
-    names = spark.createDataFrame([(r["source"], 1) for r in listed], "source string, _listed int")
-    per = sizes.join(F.broadcast(names), "source", "left").groupBy(F.when(F.col("_listed") == 1, F.col("source")).alias("source"))
-    have = {r["source"]: (r["k"], r["s"]) for r in per.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("size"), F.lit(0)).alias("s")).collect()}  # a row a listed source
-    total = sum(s for _, s in have.values())
-    rows, todo = [], []
-    for r in listed:
-        k, s = have.get(r["source"], (0, 0))
-        want = r["target_bp"] * total / 10000
-        # whole documents are used, so a run may overshoot by part of one document
-        give = float(min(want, s * r["max_repeat"]))
-        rows.append([r["source"], k, s, r["target_bp"], r["max_repeat"], want, give, s * r["max_repeat"] * 10000 < r["target_bp"] * total])
-        w, a = _schedule((schedules or {}).get(r["source"], [1.0]))
-        todo.append((r["source"], float(s), want, give, w, a))
-    given = sum(r[6] for r in rows) or 1.0
-    report = spark.createDataFrame([(*r[:7], 10000 * r[6] / given, r[7]) for r in rows], "source string, docs long, size long, target_bp long, max_repeat long, wanted double, given double, reached_bp double, short boolean")
-    todo_df = spark.createDataFrame(todo, "source string, _size double, _want double, _give double, _w array<double>, _a array<double>")
-    return report, todo_df, total
+    per = written(sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size")), "sources")
+    total = per.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("t")).first()["t"]
+    made = {k: _schedule(v) for k, v in (schedules or {}).items()}
+    constant = _schedule([1.0])
+    array = lambda v: F.array(*[F.lit(float(x)) for x in v])
+    own = wanted.join(per, "source", "left").fillna(0, ["docs", "size"])
+    if made:
+        courses = sizes.sparkSession.createDataFrame([(k, w, a) for k, (w, a) in made.items()], "source string, _w array<double>, _a array<double>")
+        own = own.join(courses, "source", "left")
+    else:
+        own = own.withColumns({"_w": F.lit(None).cast("array<double>"), "_a": F.lit(None).cast("array<double>")})
+    own = own.withColumns({"_w": F.coalesce("_w", array(constant[0])), "_a": F.coalesce("_a", array(constant[1]))})
+    supply = F.col("size") * F.col("max_repeat")
+    want = F.col("target_bp") * F.lit(total) / 10000
+    # whole documents are used, so a run may overshoot by part of one document
+    own = own.withColumns({"wanted": want.cast("double"), "given": F.least(want.cast("double"), supply.cast("double"))})
+    # products of whole numbers, so that a source that just suffices has exactly the share 1
+    exact = lambda c: c.cast("decimal(38,0)")
+    left, right = exact(supply) * 10000, exact(F.col("target_bp")) * F.lit(total)
+    below = F.when(left < right, F.lit(1 - 2.0**-53)).otherwise(1.0)  # not 1 by rounding
+    share = F.when(right > 0, F.least(below, left.cast("double") / right.cast("double"))).otherwise(1.0)
+    own = own.withColumn("runs_out_at", time_of(share, F.col("_w"), F.col("_a")))
+    own = own.withColumn("short", left < right)
+    own = written(own, "plan")
+    given = own.agg(F.sum("given").alias("g")).first()["g"] or 1.0
+    report = own.select("source", "docs", "size", "target_bp", "max_repeat", "wanted", "given", (10000 * F.col("given") / F.lit(given)).alias("reached_bp"), "runs_out_at", "short")
+    return report, own.select("source", F.col("size").cast("double").alias("_size"), F.col("wanted").alias("_want"), F.col("given").alias("_give"), "_w", "_a"), total
 
 
 def mix(documents: DataFrame, weights: DataFrame, size: Column, schedules: Mapping[str, Sequence[float]] | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +145,7 @@ def mix(documents: DataFrame, weights: DataFrame, size: Column, schedules: Mappi
     rows = written(rows, "sizes")
     report, todo, _ = plan(rows, weights, schedules)
     n = rows.count()
-    used = rows.join(F.broadcast(todo), "source")  # at most MOST_SOURCES rows of parameters
+    used = skew_join(rows, todo, ["source"], "doc_id", "inner")
     used = used.withColumn("_place", mixed(F.col("doc_id"), seed=seed))
     laid = running(used, ["source"], "_place", ["doc_id"], bits_for(n), "size", "_end")
     middle = F.col("_end") - F.col("size") / 2
@@ -143,12 +162,14 @@ def mix(documents: DataFrame, weights: DataFrame, size: Column, schedules: Mappi
 def reached(report: DataFrame, dealt: DataFrame) -> DataFrame:
     """The report of :func:`plan` with ``given`` and ``reached_bp`` of the copies that
     were really dealt: (source, _dealt), one row a source."""
-    own = report.join(F.broadcast(dealt), "source", "left").withColumn("given", F.coalesce("_dealt", F.lit(0)).cast("double"))  # at most MOST_SOURCES rows
-    total = F.sum("given").over(Window.partitionBy())
-    share = F.when(total > 0, 10000 * F.col("given") / total).otherwise(F.lit(0.0))
+    dealt = written(dealt, "dealt")
+    total = dealt.agg(F.sum("_dealt").alias("t")).first()["t"] or 0
+    own = report.join(dealt, "source", "left").withColumn("given", F.coalesce("_dealt", F.lit(0)).cast("double"))
+    share = 10000 * F.col("given") / F.lit(float(total)) if total else F.lit(0.0)
     return own.withColumn("reached_bp", share).select(*report.columns)
 
 
 def found(report: DataFrame) -> DataFrame:
-    """(source) of sources that cannot reach their share even when repeated most often."""
-    return report.filter("short").select("source")
+    """(source) of sources whose supply, repeated most often, runs out before the end of
+    their demand; the comparison in whole numbers is the exact check."""
+    return report.filter("runs_out_at < 1 and short").select("source")

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import heapq
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxloom.functions.forms import label, language_code
-from voxloom.plans.scale import bits_for, mixed, running, written
+from voxloom.plans.scale import bits_for, mixed, running, skew_join, written
 
-#: Most target cells: the table of cells is a parameter, so it is broadcast and its
-#: seats are counted on the driver; a longer one is an error.
+#: Most target cells that are broadcast; more are joined by a shuffle.
 MOST_CELLS = 20_000
+REPORT = "plan_no int, cell_no int, n_rows long, target_rows double, min_rows int, target_bp int, drawn long, last_priority double, missed boolean, reason string"
 ASPECTS = ("emotion", "delivery", "language")
 
 
@@ -57,7 +58,13 @@ def seats(cells: list[dict]) -> dict[int, tuple[int, float | None]]:
     return {k: (n, last[k]) for k, n in got.items()}
 
 
-def _members(examples: DataFrame, targets: DataFrame) -> DataFrame:
+def _with_cells(rows: DataFrame, cells: DataFrame, on: list[str], n_cells: int) -> DataFrame:
+    if n_cells <= MOST_CELLS:
+        return rows.join(F.broadcast(cells), on)
+    return skew_join(rows, cells, on, "example_id", "inner")
+
+
+def _members(examples: DataFrame, targets: DataFrame, n_cells: int) -> DataFrame:
     """(example_id, plan_no, cell_no): all cells that an example is in. An equi-join
     on the aspects that a cell names; a row is repeated once for each kind of cell."""
     keyed = examples.select(
@@ -72,7 +79,7 @@ def _members(examples: DataFrame, targets: DataFrame) -> DataFrame:
     rows = keyed.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])) if kinds else F.lit(-1))
     for i, a in enumerate(ASPECTS):
         rows = rows.withColumn(a, F.when(F.col("kind").bitwiseAND(1 << i) == 0, F.lit("*")).otherwise(F.col(a)))
-    return rows.join(F.broadcast(cells), ["kind", *ASPECTS]).select("example_id", "plan_no", "cell_no", F.bit_count("kind").alias("names"))
+    return _with_cells(rows, cells, ["kind", *ASPECTS], n_cells).select("example_id", "plan_no", "cell_no", F.bit_count("kind").alias("names"))
 
 
 def sample(examples: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -90,41 +97,33 @@ def sample(examples: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[Data
     no sample and a report in which all cells miss theirs."""
     cells = targets.select("plan_no", "cell_no", *ASPECTS, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("target_bp", "min_rows", "sample_pct")])
     cells = cells.filter("plan_no is not null and cell_no is not null")
-    listed = cells.limit(MOST_CELLS + 1).collect()
-    if len(listed) > MOST_CELLS:
-        raise ValueError(f"more than {MOST_CELLS} target cells")
-    spark = examples.sparkSession
-    cells = spark.createDataFrame(listed, cells.schema) if listed else cells
-    members = written(_members(examples, cells), "members")
-    n = examples.count()
-    counts = {(r["plan_no"], r["cell_no"]): r["k"] for r in members.groupBy("plan_no", "cell_no").agg(F.count(F.lit(1)).alias("k")).collect()}  # a row a cell
-    plans: dict[int, list] = {}
-    for r in listed:
-        plans.setdefault(r["plan_no"], []).append(r)
-    meet = lambda a, b: all(a[x] is None or b[x] is None or a[x] == b[x] for x in ASPECTS)
-    overlap = any(meet(a, b) for own in plans.values() for i, a in enumerate(own) for b in own[:i])
-    drawn_from, own_counts = members.select("plan_no", "cell_no", "example_id"), counts
-    if overlap:
-        best = F.min(F.struct((-F.col("names")).alias("names"), "cell_no")).alias("b")
-        drawn_from = written(members.groupBy("plan_no", "example_id").agg(best).select("plan_no", "b.cell_no", "example_id"), "drawn")
-        own_counts = {(r["plan_no"], r["cell_no"]): r["k"] for r in drawn_from.groupBy("plan_no", "cell_no").agg(F.count(F.lit(1)).alias("k")).collect()}
-    plan: list[tuple] = []
-    for p, own in sorted(plans.items()):
-        size = n * own[0]["sample_pct"] // 100
-        got = seats([{"cell_no": r["cell_no"], "target": r["target_bp"], "floor": r["min_rows"], "rows": own_counts.get((p, r["cell_no"]), 0), "sample": size} for r in own])
+    cells = written(cells, "cells")
+    n_cells, n = cells.count(), examples.count()
+    members = written(_members(examples, cells, n_cells), "members")
+    best = F.min(F.struct((-F.col("names")).alias("names"), "cell_no")).alias("b")
+    drawn_from = written(members.groupBy("plan_no", "example_id").agg(best).select("plan_no", "b.cell_no", "example_id"), "drawn")
+    count = lambda d, name: d.groupBy("plan_no", "cell_no").agg(F.count(F.lit(1)).alias(name))
+    facts = cells.join(count(members, "k"), ["plan_no", "cell_no"], "left").join(count(drawn_from, "own"), ["plan_no", "cell_no"], "left")  # a row a cell
+
+    def seated(plan: pd.DataFrame) -> pd.DataFrame:
+        own = plan.fillna({"k": 0, "own": 0}).astype({"k": "int64", "own": "int64"}).sort_values("cell_no").to_dict("records")
+        size = n * int(own[0]["sample_pct"]) // 100
+        got = seats([{"cell_no": r["cell_no"], "target": r["target_bp"], "floor": r["min_rows"], "rows": r["own"], "sample": size} for r in own])
+        out = []
         for r in own:
-            k, (seat, last) = counts.get((p, r["cell_no"]), 0), got[r["cell_no"]]
-            few = k * 1_000_000 < r["target_bp"] * r["sample_pct"] * n
+            k, (seat, last) = r["k"], got[r["cell_no"]]
+            few = k * 1_000_000 < int(r["target_bp"]) * int(r["sample_pct"]) * n
             why = [w for w, on in (("few_rows", few), ("below_floor", k < r["min_rows"])) if on]
-            goal = r["target_bp"] * r["sample_pct"] * n / 1_000_000
+            goal = int(r["target_bp"]) * int(r["sample_pct"]) * n / 1_000_000
             if not why and seat < int(goal):
                 why = ["shared"]
-            plan.append((p, r["cell_no"], k, goal, r["min_rows"], r["target_bp"], seat, last, bool(why), ",".join(why) or None))
-    report = spark.createDataFrame(plan, "plan_no int, cell_no int, n_rows long, target_rows double, min_rows int, target_bp int, drawn long, last_priority double, missed boolean, reason string")
+            out.append((r["plan_no"], r["cell_no"], k, goal, r["min_rows"], r["target_bp"], seat, last, bool(why), ",".join(why) or None))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in REPORT.split(", ")])
+
+    report = written(facts.groupBy("plan_no").applyInPandas(seated, REPORT), "report")  # a plan's cells, which are a parameter, in one task
     placed = drawn_from.withColumn("_place", mixed(F.col("plan_no"), F.col("example_id"), seed=seed))
     ranked = running(placed, ["plan_no", "cell_no"], "_place", ["example_id"], bits_for(n))
-    open_ = F.broadcast(report.select("plan_no", "cell_no", "drawn", "target_bp", "min_rows"))
-    out = ranked.join(open_, ["plan_no", "cell_no"]).filter(F.col("rank") <= F.col("drawn"))
+    out = _with_cells(ranked, report.select("plan_no", "cell_no", "drawn", "target_bp", "min_rows"), ["plan_no", "cell_no"], n_cells).filter(F.col("rank") <= F.col("drawn"))
     priority = F.when((F.col("rank") > F.col("min_rows")) & (F.col("target_bp") > 0), (F.col("rank") - 0.5) / F.col("target_bp"))
     return out.select("plan_no", "cell_no", "example_id", "rank", priority.alias("priority")), report
 
