@@ -359,7 +359,7 @@ def test_ingest_resumes_and_guards(spark, tmp_path):
     assert all(r.ok for r in ingest.verified(spark, dst).collect())
     with pytest.raises(ingest.Drift, match="v"):
         run(v=2)
-    with ingest.exclusive(dst), pytest.raises(RuntimeError):
+    with ingest.exclusive(spark, dst), pytest.raises(RuntimeError):
         run(v=1)
     calls = []
     assert ingest.retried(lambda: calls.append(1) or (1 if len(calls) > 2 else (_ for _ in ()).throw(OSError())), sleep=lambda _: None) == 1
@@ -367,6 +367,30 @@ def test_ingest_resumes_and_guards(spark, tmp_path):
         ingest.inside(dst, "../other")
 
 
+def test_ingest_leaves_out_bad_shards_and_retires_good_ones(spark, tmp_path):
+    src, dst = f"file:{tmp_path}/src", f"file:{tmp_path}/dst"
+    for i in range(4):
+        spark.range(10 * i, 10 * i + 10).coalesce(1).write.mode("append").parquet(src)
+    bad = lambda b: b.withColumn("x", F.when(F.col("id") == 25, F.raise_error(F.lit("no"))).otherwise(F.col("id")))
+    with pytest.raises(ingest.FailedShards, match="1 shards"):
+        ingest.ingest(spark, src, dst, "id long", bad, {}, 3, isolate=True)
+    assert {r.id for r in spark.read.parquet(f"{dst}/data").collect()} == {*range(20), *range(30, 40)}
+    assert ingest.totals(spark, dst) == {"shards": 3, "rows": 30, "failed": 1}
+    assert ingest.retire(spark, dst) == 3 and spark.read.schema("id long").parquet(src).count() == 10
+
+
+def test_publish_moves_verified_files(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for name, n in (("x", 10), ("b/y", 20), ("b/z", 5), ("w", 0)):
+        (tmp_path / "a" / name).write_bytes(b"1" * n)
+    got = {r.path: (r.size, r.batch_no) for r in ingest.publish(spark, f"file:{tmp_path}/a", f"file:{tmp_path}/out", 2, 30).collect()}
+    assert got == {"b/y": (20, 0), "b/z": (5, 0), "w": (0, 1), "x": (10, 1)}
+    assert (tmp_path / "out/b/y").read_bytes() == b"1" * 20 and not (tmp_path / "a/x").exists()
+    with pytest.raises(ValueError):
+        ingest.inside("s3a://bucket/root", "../../other")
+    assert ingest.inside("s3a://bucket/root", "a/../b") == "s3a://bucket/root/b"
+
+
 def test_settings():
     assert settings.Scenario().frames == (7, 150) and settings.Scenario().completion_length == 4801
     for bad in ({"generations": 1}, {"streaming": True}, {"reward_asr": "b"}, {"most_seconds": 0.1}):

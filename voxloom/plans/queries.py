@@ -7,7 +7,7 @@ transforms, streams) there is none, and tests hold the operator against brute fo
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxloom.functions import frontend, rewards, signal, text, tokens, vectors
 from voxloom.functions.forms import language_code
 from voxloom.operators import audit, batching, datasets, measures, ranking, speech
-from voxloom.plans.scale import written
+from voxloom.plans.scale import shared_dir, written
 from voxloom.sources import files
 from voxloom.sources.tables import table
 from voxloom.streaming import ingest
@@ -727,19 +727,12 @@ def n0_event_rates(s, d):
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def n1_stream_ingest(s, d):
     """The events table through the file stream, batch by batch, and back."""
-    target = f"{tempfile.mkdtemp(prefix='voxloom-ingest-', dir=_local_tmp(s))}/run"
+    target = f"{shared_dir(s)}/voxloom-ingest-{uuid.uuid4().hex}"
     kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     ingest.ingest(s, f"{d}/events.parquet*", target, kinds, lambda b: b.select("event_id", "user_id", "event_type", "value"), {"table": "events"}, 4)
     return s.read.schema("event_id long, user_id long, event_type string, value double").parquet(f"{target}/data/batch=*")
 
 
-def _local_tmp(s: SparkSession) -> str:
-    from voxloom.plans.scale import shared_dir
-
-    where = shared_dir(s)
-    return where.removeprefix("file:").replace("///", "/").replace("//", "/")
-
-
 @query("""WITH RECURSIVE r AS (SELECT doc_id, n_chars, doc_id // 5000 AS writer, row_number() OVER (PARTITION BY doc_id // 5000 ORDER BY doc_id) AS k FROM documents),
           f AS (SELECT doc_id, n_chars, writer, k, 0 AS batch_no, 1 AS n, n_chars AS b FROM r WHERE k = 1
                 UNION ALL SELECT r.doc_id, r.n_chars, r.writer, r.k, CASE WHEN c THEN f.batch_no + 1 ELSE f.batch_no END, CASE WHEN c THEN 1 ELSE f.n + 1 END, CASE WHEN c THEN r.n_chars ELSE f.b + r.n_chars END
