@@ -7,6 +7,7 @@ that a key held by a third of all rows is never sorted in one task.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ class Thresholds:
         for low, high in (("minimum_seconds", "maximum_seconds"), ("minimum_characters", "maximum_characters"), ("minimum_rms_dbfs", "maximum_rms_dbfs"), ("minimum_characters_per_second", "maximum_characters_per_second")):
             if getattr(self, low) > getattr(self, high):
                 raise ValueError(f"{low} is above {high}")
-        if self.minimum_seconds <= 0 or self.minimum_characters < 0 or not 0 <= self.maximum_clipping_ratio <= 1 or not 0 <= self.maximum_silence_ratio <= 1:
+        if self.minimum_seconds < 0 or self.minimum_characters < 0 or not 0 <= self.maximum_clipping_ratio <= 1 or not 0 <= self.maximum_silence_ratio <= 1:
             raise ValueError("a threshold is out of range")
 
 
@@ -66,7 +67,7 @@ def squeezed_ends(c: Column) -> Column:
 def signal_reasons(metrics: Column, text: Column, t: Thresholds = Thresholds()) -> list[Column]:
     """Reasons that a metrics struct gives; a null struct is ``audio_error``."""
     n = F.length(squeezed_ends(F.coalesce(text, F.lit(""))))
-    rate = n / F.greatest(metrics["duration_seconds"], F.lit(1e-6))
+    rate = F.when(metrics["duration_seconds"].isNotNull(), n / F.greatest(metrics["duration_seconds"], F.lit(1e-6)))
     rules = [
         ("duration", _outside(metrics["duration_seconds"], t.minimum_seconds, t.maximum_seconds)),
         ("clipping", metrics["clipping_ratio"] > t.maximum_clipping_ratio),
@@ -79,20 +80,26 @@ def signal_reasons(metrics: Column, text: Column, t: Thresholds = Thresholds())
     return [F.when(bad, F.lit(name)) for name, bad in rules]
 
 
-def first_seen(rows: DataFrame, key: list[Column], position: str, id: str, usable: Column | None = None) -> DataFrame:
-    """(position, first_id): rows whose key occurred at an earlier position, with the id
-    of the first. A first row counts even if it is rejected itself; rows that are not
-    ``usable``, or whose key is null, neither count nor are duplicates. Keys travel as
-    128-bit digests; the first row of each is found before the shuffle."""
-    ok = F.lit(True) if usable is None else usable
-    for k in key:
-        ok = ok & k.isNotNull()
-    parts = [F.concat(F.length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")) for k in key]
-    keyed = rows.filter(ok).select(F.unhex(F.md5(F.concat(*parts))).alias("_key"), F.col(position).alias("_at"), F.col(id).cast("string").alias("_id"))
-    keyed = written(keyed, "keys")
+def first_seen(rows: DataFrame, keys: Mapping[str, tuple[list[Column], Column | None]], position: str, id: str) -> DataFrame:
+    """(position, a column a kind): for rows of which a key occurred at an earlier position
+    the id of the first, by kind of key. ``keys``: kind to (columns, usable). A first row
+    counts even if it is rejected itself; rows that are not usable, or with a null in
+    their key, neither count nor are duplicates. All kinds are stacked as 128-bit
+    digests in one pass; the first row of each key is found before the shuffle."""
+
+    def digest(kind: str, key: list[Column], usable: Column | None) -> Column:
+        ok = F.lit(True) if usable is None else usable
+        for k in key:
+            ok = ok & k.isNotNull()
+        parts = [F.concat(F.length(k.cast("string")).cast("string"), F.lit(":"), k.cast("string")) for k in key]
+        return F.when(ok, F.unhex(F.md5(F.concat(F.lit(kind + "|"), *parts))))
+
+    each = F.array(*[F.struct(F.lit(i).alias("kind"), digest(kind, *spec).alias("key")) for i, (kind, spec) in enumerate(keys.items())])
+    keyed = rows.select(F.col(position).alias("_at"), F.col(id).cast("string").alias("_id"), F.explode(each).alias("_k"))
+    keyed = written(keyed.select("_at", "_id", F.col("_k.kind").alias("_kind"), F.col("_k.key").alias("_key")).filter("_key is not null"), "keys")
     firsts = keyed.groupBy("_key").agg(F.min(F.struct("_at", "_id")).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     again = skew_join(keyed, written(firsts, "firsts"), ["_key"], "_at", "inner").filter(F.col("_at") > F.col("_first._at"))
-    return again.select(F.col("_at").alias(position), F.col("_first._id").alias("first_id"))
+    return again.groupBy(F.col("_at").alias(position)).agg(*[F.max(F.when(F.col("_kind") == i, F.col("_first._id"))).alias(kind) for i, kind in enumerate(keys)])
 
 
 def audit(manifest: DataFrame, position: str = "row_no", id: str = "id", digest: Column | None = None, metrics: Column | None = None, thresholds: Thresholds = Thresholds()) -> DataFrame:
@@ -108,12 +115,11 @@ def audit(manifest: DataFrame, position: str = "row_no", id: str = "id", digest:
     if metrics is not None:
         reasons += signal_reasons(metrics, F.col("text"), thresholds)
     base = manifest.withColumn("_own", F.array_compact(F.array(*reasons)))
-    same = first_seen(manifest, [speaker, duplicate_key(text)], position, id, (F.length(speaker) > 0) & (F.length(text) > 0))
-    base = base.join(same.withColumnRenamed("first_id", "_same"), position, "left")
+    keys = {"_same": ([speaker, duplicate_key(text)], (F.length(speaker) > 0) & (F.length(text) > 0))}
     if digest is not None:
-        heard = first_seen(manifest, [digest], position, id)
-        base = base.join(heard.withColumnRenamed("first_id", "_heard"), position, "left")
-    else:
+        keys["_heard"] = ([digest], None)
+    base = base.join(first_seen(manifest, keys, position, id), position, "left")
+    if digest is None:
         base = base.withColumn("_heard", F.lit(None).cast("string"))
     more = F.array(F.when(F.col("_heard").isNotNull(), F.lit("duplicate_audio")), F.when(F.col("_same").isNotNull(), F.lit("duplicate_speaker_text")))
     all_ = F.array_sort(F.array_distinct(F.concat(F.col("_own"), F.array_compact(more))))

@@ -127,6 +127,34 @@ def d2_reason_counts(s, d):
     return audit.reason_counts(_audited(s, d))
 
 
+#: Metrics of a clip, made of its number so that every rule is broken now and then.
+_METRICS = {
+    "duration_seconds": "CAST(row_no % 403 AS DOUBLE) / 13", "clipping_ratio": "CAST(row_no % 211 AS DOUBLE) / 200000", "silence_ratio": "CAST(row_no % 131 AS DOUBLE) / 160",
+    "dc_offset": "CAST(row_no % 97 AS DOUBLE) / 1500 - 0.005e0", "rms_dbfs": "CAST(row_no % 89 AS DOUBLE) / 2 - 45.5e0",
+}
+_SIGNALS = _AUDIT + f""", heard AS (SELECT row_no, row_no % 53 = 0 AS broken, {", ".join(f"{v.replace('e0', '::DOUBLE')} AS {k}" for k, v in _METRICS.items())}, {_trim("coalesce(text, '')")} AS t FROM manifest),
+    all_ AS (SELECT r.row_no, r.duplicate_of, list_sort(list_concat(r.reasons, CASE WHEN broken THEN ['audio_error'] ELSE list_filter([
+        CASE WHEN duration_seconds NOT BETWEEN 0.4::DOUBLE AND 30 THEN 'duration' END, CASE WHEN clipping_ratio > 0.001::DOUBLE THEN 'clipping' END, CASE WHEN silence_ratio > 0.75 THEN 'silence' END, CASE WHEN abs(dc_offset) > 0.05::DOUBLE THEN 'dc_offset' END,
+        CASE WHEN rms_dbfs NOT BETWEEN -45 AND -3 THEN 'level' END, CASE WHEN length(t) / greatest(duration_seconds, 1e-6) NOT BETWEEN 1 AND 35 THEN 'text_audio_ratio' END], lambda x: x IS NOT NULL) END)) AS reasons FROM r JOIN heard USING (row_no))"""
+
+
+def _heard(s, d):
+    m = table(s, d, "manifest", "row_no", "id", "audio", "text", "speaker", "license")
+    metrics = F.when(F.col("row_no") % 53 != 0, F.struct(*[F.expr(v).alias(k) for k, v in _METRICS.items()]))
+    return audit.audit(m, digest=F.sha2("audio", 256), metrics=metrics, thresholds=audit.Thresholds(require_license=True))
+
+
+@query(_SIGNALS + " SELECT row_no, array_to_string(reasons, ',') AS reasons, duplicate_of FROM all_")
+def b1_audit_with_signals(s, d):
+    """All eleven reasons; metrics are made of the row's number, as the tables hold no audio."""
+    return _heard(s, d).select("row_no", F.concat_ws(",", "rejection_reasons").alias("reasons"), "duplicate_of")
+
+
+@query(_SIGNALS + " SELECT reason, count(*) AS n_rows FROM (SELECT unnest(reasons) AS reason FROM all_) GROUP BY reason")
+def d2_all_reason_counts(s, d):
+    return audit.reason_counts(_heard(s, d))
+
+
 @query(_AUDIT + " SELECT count(*) AS n_input, count(*) FILTER (len(reasons) = 0) AS n_accepted, count(*) FILTER (len(reasons) > 0) AS n_rejected FROM r")
 def d3_audit_totals(s, d):
     return audit.totals(_audited(s, d))
@@ -413,42 +441,53 @@ def h4_plain_documents(s, d):
     return table(s, d, "documents", "doc_id", text.strip_markup_exact(F.col("text")).alias("plain"))
 
 
-@query(rf"""SELECT row_no, trim(regexp_replace({_fold("trim(regexp_replace(text, '" + _SPACES + "', ' ', 'g'))").replace("translate(", "(").replace(", 'İIı', 'iii')", ")")}, '[\s\p{{P}}\p{{S}}\p{{Z}}]+', ' ', 'g')) AS said FROM manifest WHERE text IS NOT NULL AND NOT regexp_matches(text, 'İ|ς')""")
-def h1_transcripts(s, d):
-    return table(s, d, "manifest", "row_no", "text").filter("text is not null").filter(~F.col("text").rlike("İ|ς")).select("row_no", text.transcript(F.col("text")).alias("said"))
+_TAGS = r"<nar_(control|event)\b[^>]*>"
 
 
-@query()
-def h1_all_transcripts(s, d):
-    """Every row; h1_transcripts is the part on which DuckDB's lower() folds alike."""
-    return table(s, d, "manifest", "row_no", "text").select("row_no", text.transcript(F.col("text")).alias("said"))
+def _transcript(x: str, blank: str = " ") -> str:
+    """SQL of the transcript form: composed, without tags, case folded in full, marks as blanks."""
+    folded = f"replace(replace(lower(replace(replace(regexp_replace(nfc_normalize({x}), '{_TAGS}', ' ', 'gi'), 'İ', 'i' || chr(775)), 'ẞ', 'ss')), 'ß', 'ss'), 'ς', 'σ')"
+    return rf"trim(regexp_replace({folded}, '[\s\x0B\x1C-\x1F\x{{85}}\p{{P}}\p{{S}}\p{{Z}}]+', '{blank}', 'g'))"
 
 
-_ASCII = r"regexp_matches(target_text, '^[\x20-\x7E]+$') AND regexp_matches(reference_text, '^[\x20-\x7E]+$')"
-_CHARS = r"regexp_replace(lower({0}), '[\s\p{{P}}\p{{S}}]+', '', 'g')"
+def _distance(t: str) -> str:
+    """SQL of the edit distance of two lists of at most 127 different values (all in d): each
+    value becomes a character of one byte, as DuckDB compares bytes."""
+    spelled = lambda x: f"array_to_string(list_transform({x}, lambda v: chr(list_position({t}.d, v))), '')"
+    return f"levenshtein({spelled(f'{t}.a')}, {spelled(f'{t}.b')})"
 
 
-@query(rf"""WITH p AS (SELECT example_id, {_CHARS.format("target_text")} AS a, {_CHARS.format("reference_text")} AS b FROM grpo_example WHERE {_ASCII} AND NOT contains(target_text, '<') AND NOT contains(reference_text, '<'))
-           SELECT example_id, round(CASE WHEN len(a) > 0 THEN levenshtein(a, b) / len(a) WHEN len(b) > 0 THEN 1 ELSE 0 END, 9) AS cer FROM p""")
-def h3_character_errors(s, d):
-    g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text")
-    ascii_ = r"^[\x20-\x7E]+$"
-    g = g.filter(F.col("target_text").rlike(ascii_) & F.col("reference_text").rlike(ascii_) & ~F.col("target_text").contains("<") & ~F.col("reference_text").contains("<"))
-    return g.select("example_id", F.round(text.character_error_rate(F.col("target_text"), F.col("reference_text")), 9).alias("cer"))
+def _error_rate(t: str) -> str:
+    return f"CASE WHEN {t}.a IS NULL OR {t}.b IS NULL THEN NULL WHEN len({t}.a) > 0 THEN {_distance(t)} / len({t}.a) WHEN len({t}.b) > 0 THEN 1 ELSE 0 END"
 
 
-@query()
-def h3_all_character_errors(s, d):
-    """Every row, null where a text is; h3_character_errors is the part that SQL can say."""
+_LISTED = "CASE WHEN {0} IS NOT NULL THEN list_filter(string_split({0}, '{1}'), lambda v: v <> '') END"
+_PAIRS = f"""WITH t AS (SELECT example_id, {_transcript("target_text", "")} AS ca, {_transcript("reference_text", "")} AS cb, {_transcript("target_text")} AS wa, {_transcript("reference_text")} AS wb, reference_text <> '' AND target_text <> '' AS given FROM grpo_example),
+    c0 AS (SELECT example_id, given, {_LISTED.format("ca", "")} AS a, {_LISTED.format("cb", "")} AS b FROM t), c AS (SELECT *, list_distinct(list_concat(a, b)) AS d FROM c0),
+    w0 AS (SELECT example_id, given, {_LISTED.format("wa", " ")} AS a, {_LISTED.format("wb", " ")} AS b FROM t), w AS (SELECT *, list_distinct(list_concat(a, b)) AS d FROM w0)"""
+
+
+@query(f"SELECT row_no, {_transcript('text')} AS said FROM manifest")
+def h1_transcripts(s, d):
+    return table(s, d, "manifest", "row_no", "text").select("row_no", text.transcript(F.col("text")).alias("said"))
+
+
+def _both(g: DataFrame, rate) -> DataFrame:
+    """The rate of each row, null where a text is."""
+    have = F.col("target_text").isNotNull() & F.col("reference_text").isNotNull()
+    return g.select("example_id", F.when(have, F.round(rate, 9)).alias("rate"))
+
+
+@query(f"{_PAIRS} SELECT example_id, round({_error_rate('c')}, 9) AS rate FROM c")
+def h3_character_errors(s, d):
     g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text")
-    rate = F.round(text.character_error_rate(F.col("target_text"), F.col("reference_text")), 9)
-    return g.select("example_id", F.when(F.col("target_text").isNotNull() & F.col("reference_text").isNotNull(), rate).alias("cer"))
+    return _both(g, text.character_error_rate(F.col("target_text"), F.col("reference_text")))
 
 
-@query()
+@query(f"{_PAIRS} SELECT example_id, round({_error_rate('w')}, 9) AS rate FROM w")
 def h3_word_errors(s, d):
-    g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text").filter("target_text is not null and reference_text is not null")
-    return g.select("example_id", text.word_error_rate(F.col("target_text"), F.col("reference_text")).alias("wer"))
+    g = table(s, d, "grpo_example", "example_id", "target_text", "reference_text")
+    return _both(g, text.word_error_rate(F.col("target_text"), F.col("reference_text")))
 
 
 @query()
@@ -463,16 +502,18 @@ def h8_normalized(s, d):
     return r.select("request_id", frontend.normalized(F.col("text"), F.coalesce("lang", F.lit("tr"))).alias("normal"))
 
 
-@query(rf"""SELECT request_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(text, '[“”]', '"', 'g'), '[‘’]', '''', 'g'), '[–—]', '-', 'g'), '…', '...'), '{_SPACES}', ' ', 'g')) AS plain
-           FROM synthesis_request WHERE text IS NOT NULL AND NOT regexp_matches(text, '(dr|prof|mr|mrs)\.', 'i')""")
-def h8_plain_quotes(s, d):
-    r = table(s, d, "synthesis_request", "request_id", "text").filter("text is not null").filter(~F.col("text").rlike(r"(?i)(dr|prof|mr|mrs)\."))
-    return r.select("request_id", frontend.native_normalized(F.col("text"), "en").alias("plain"))
+def _shortened(x: str, short: str, full: str) -> str:
+    one = lambda y: rf"regexp_replace({y}, '(^|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]){short}\.', '\1{full}', 'gi')"
+    return one(one(x))  # twice: matches that touch
 
 
-@query()
-def h8_all_plain_quotes(s, d):
-    """Every row; h8_plain_quotes is the part without abbreviations."""
+_QUOTED = "replace(regexp_replace(regexp_replace(regexp_replace(text, '[“”]', '\"', 'g'), '[‘’]', chr(39), 'g'), '[–—]', '-', 'g'), '…', '...')"
+for _s, _f in (("dr", "doctor"), ("prof", "professor"), ("mr", "mister"), ("mrs", "missus")):
+    _QUOTED = _shortened(_QUOTED, _s, _f)
+
+
+@query(rf"SELECT request_id, trim(regexp_replace({_QUOTED}, '{_SPACES}', ' ', 'g')) AS plain FROM synthesis_request")
+def h8_plain_quotes(s, d):
     return table(s, d, "synthesis_request", "request_id", "text").select("request_id", frontend.native_normalized(F.col("text"), "en").alias("plain"))
 
 
@@ -756,19 +797,9 @@ def d13_prosody(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(signal.prosody_similarity(own, ref), 6).alias("prosody"))
 
 
-@query(rf"""WITH p AS (SELECT example_id, target_duration_seconds AS t, len(reference_audio_ids) AS n, {_CHARS.format("target_text")} AS a, {_CHARS.format("reference_text")} AS b FROM grpo_example WHERE {_ASCII} AND NOT contains(target_text, '<') AND NOT contains(reference_text, '<'))
-           SELECT example_id, round(CASE WHEN t > 0 AND NOT isnan(t) THEN t WHEN n > 0 AND len(a) > 0 AND len(b) > 0 THEN n / 32::DOUBLE / 12.5::DOUBLE * len(a) / len(b) ELSE -1 END, 6) AS seconds FROM p""")
+@query(f"""WITH t AS (SELECT example_id, target_duration_seconds AS t, len({_transcript("target_text", "")}) AS a, len({_transcript("reference_text", "")}) AS b, len(reference_audio_ids) AS n, len(reference_text) AS r FROM grpo_example)
+           SELECT example_id, round(CASE WHEN t > 0 AND NOT isnan(t) THEN t WHEN n > 0 AND r > 0 AND a > 0 AND b > 0 THEN n / 32::DOUBLE / 12.5 * a / b ELSE -1 END, 6) AS seconds FROM t""")
 def h16_reward_durations(s, d):
-    g = table(s, d, "grpo_example", "example_id", "target_duration_seconds", "target_text", "reference_text", "reference_audio_ids")
-    ascii_ = r"^[\x20-\x7E]+$"
-    g = g.filter(F.col("target_text").rlike(ascii_) & F.col("reference_text").rlike(ascii_) & ~F.col("target_text").contains("<") & ~F.col("reference_text").contains("<"))
-    given = F.when(~F.isnan("target_duration_seconds"), F.col("target_duration_seconds"))
-    return g.select("example_id", F.round(text.reward_duration(given, F.col("target_text"), F.col("reference_text"), F.col("reference_audio_ids")), 6).alias("seconds"))
-
-
-@query()
-def h16_all_reward_durations(s, d):
-    """Every row; h16_reward_durations is the part that SQL can say."""
     g = table(s, d, "grpo_example", "example_id", "target_duration_seconds", "target_text", "reference_text", "reference_audio_ids")
     given = F.when(~F.isnan("target_duration_seconds"), F.col("target_duration_seconds"))
     return g.select("example_id", F.round(text.reward_duration(given, F.col("target_text"), F.col("reference_text"), F.col("reference_audio_ids")), 6).alias("seconds"))
@@ -845,10 +876,12 @@ def e7_split_events(s, d):
     return chunks.select("example_id", F.posexplode(speech.split_events(F.col("chunks"), frontend.widened_events(F.col("events")))).alias("chunk_no", "events")).select("example_id", "chunk_no", F.to_json("events").alias("events"))
 
 
-@query()
+@query(f"""{_PAIRS}, v AS (SELECT 'cer' AS metric, {_error_rate('c')} AS v FROM c WHERE a IS NOT NULL AND given UNION ALL SELECT 'wer', {_error_rate('w')} FROM w WHERE a IS NOT NULL AND given)
+           SELECT metric, round(avg(v), 9) AS mean, round(quantile_cont(v, 0.5), 9) AS median, round(quantile_cont(v, 0.95), 9) AS p95, count(*) AS n_values FROM v GROUP BY metric""")
 def r2_evaluated(s, d):
-    g = table(s, d, "grpo_example", "example_id", F.col("target_text").alias("text"), F.col("reference_text").alias("hypothesis"))
-    return measures.aggregate_numeric(speech.evaluated(g), ["cer", "wer"])
+    g = table(s, d, "grpo_example", "example_id", F.col("target_text").alias("text"), F.col("reference_text").alias("hypothesis")).filter("text is not null and hypothesis is not null")
+    made = measures.aggregate_numeric(speech.evaluated(g), ["cer", "wer"])
+    return made.select("metric", *[F.round(c, 9).alias(c) for c in ("mean", "median", "p95")], "n_values")
 
 
 @query()
@@ -858,6 +891,114 @@ def r4_expressive(s, d):
     return speech.expressive(rows, LAYOUT, F.col("c"), F.col("codes"), language=F.col("language"))
 
 
+# round trips through sinks and sources
+
+
+def _out(s: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(s)}/voxloom-out-{uuid.uuid4().hex}/{name}"
+
+
+@query("SELECT id, audio, text, speaker, language, license FROM manifest")
+def a1_json_lines(s, d):
+    """The manifest as JSON lines and back."""
+    path = _out(s, "manifest.jsonl")
+    files.write_jsonl(table(s, d, "manifest", "id", "audio", "text", "speaker", "language", "license"), path)
+    return files.read_jsonl(s, path).drop("_file", "_line")
+
+
+@query("SELECT len(input_ids) AS n_ids, md5(array_to_string(input_ids, ',')) AS digest FROM expressive WHERE input_ids IS NOT NULL")
+def a7_token_shards(s, d):
+    path = _out(s, "tokens")
+    files.write_tokens(table(s, d, "expressive", "input_ids").filter("input_ids is not null"), path)
+    ids = s.read.schema("input_ids array<int>").parquet(path)
+    return ids.select(F.size("input_ids").cast("long").alias("n_ids"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("digest"))
+
+
+@query("SELECT row_no, id, text, emotion, audio_seconds, teacher_cer, hard_case, len(input_ids) AS n_ids FROM expressive")
+def a8_expressive_shards(s, d):
+    path = _out(s, "expressive")
+    rows = table(s, d, "expressive", "row_no", "id", "text", "emotion", "audio_seconds", "teacher_cer", "hard_case", "input_ids")
+    files.write_expressive(rows, path)
+    return s.read.schema(rows.schema).parquet(path).withColumn("n_ids", F.size("input_ids").cast("long")).drop("input_ids")
+
+
+@query("SELECT emotion, count(*) AS n_rows, sum(example_id) AS ids FROM grpo_example WHERE hard_case AND emotion IS NOT NULL GROUP BY emotion")
+def a11_hard_case_store(s, d):
+    """Hard cases in two appends, then counted in the store."""
+    path = _out(s, "hard.jsonl")
+    g = table(s, d, "grpo_example", "example_id", "emotion", "hard_case").filter("hard_case and emotion is not null")
+    for half in (0, 1):
+        files.append_hard_cases(g.filter(F.col("example_id") % 2 == half), path)
+    return s.read.schema("example_id long, emotion string").json(path).groupBy("emotion").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("example_id").alias("ids"))
+
+
+_PCM = "list_transform(embedding, lambda v: CASE WHEN round_even(greatest(-1, least(1, v::DOUBLE)) * 32767, 0) IS NULL THEN 0 ELSE round_even(greatest(-1, least(1, v::DOUBLE)) * 32767, 0) END)"
+
+
+@query(f"""SELECT vec_id, CAST(len(embedding) AS INT) AS n_samples, CASE WHEN len(embedding) / 160 NOT BETWEEN 0.2 AND 30 THEN 'duration' END AS dropped,
+           CASE WHEN len(embedding) / 160 BETWEEN 0.2 AND 30 THEN round(list_sum({_PCM}) / 32768, 4) END AS total FROM embeddings""")
+def a13_decoded_clips(s, d):
+    """Vectors as clips of 160 samples a second: encoded as WAV, decoded, filtered by duration."""
+    e = table(s, d, "embeddings", "vec_id", "embedding").withColumns({"audio": F.struct(files.encoded_wav(F.col("embedding"), F.lit(160)).alias("bytes"), F.lit("x.wav").alias("path")), "text": F.lit("said")})
+    out = files.decoded(e, rate=160)
+    total = F.round(F.aggregate(F.transform("samples", lambda x: x.cast("double")), F.lit(0.0), lambda a, x: a + x), 4)
+    return out.select("vec_id", F.size("embedding").alias("n_samples"), "dropped", total.alias("total"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(greatest(1, ceil(l_discount * 10 * 12.5)) AS INT) AS least, CAST(ceil(l_quantity * 12.5) AS INT) AS most FROM lineitem")
+def i14_second_limits(s, d):
+    limits = tokens.frame_limits(F.col("l_discount") * 10, F.col("l_quantity"))
+    return table(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_discount", "l_quantity").select("l_orderkey", "l_linenumber", limits.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
+
+
+_E = "l_linenumber % 5 AS expected, l_linenumber % 3 AS detected, least(l_linenumber % 5, l_linenumber % 3) AS matched"
+
+
+@query(f"""WITH e AS (SELECT l_orderkey, l_linenumber, {_E} FROM lineitem),
+           p AS (SELECT *, CASE WHEN detected > 0 THEN matched / detected WHEN expected = 0 THEN 1 ELSE 0 END AS p, CASE WHEN expected > 0 THEN matched / expected WHEN detected = 0 THEN 1 ELSE 0 END AS r FROM e)
+           SELECT l_orderkey, l_linenumber, round(p, 9) AS "precision", round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1, round(abs(detected - expected) / greatest(expected, 1), 9) AS count_error FROM p""")
+def d11_event_scores(s, d):
+    e = table(s, d, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_E.split(", ", 2))
+    x = measures.event_scores(F.col("matched"), F.col("expected"), F.col("detected"))
+    return e.select("l_orderkey", "l_linenumber", x.alias("x")).select("l_orderkey", "l_linenumber", *[F.round(f"x.{c}", 9).alias(c) for c in ("precision", "recall", "f1", "count_error")])
+
+
+def _said(n: str, lang: str) -> str:
+    """SQL of the words of a number from 0 to 999,999."""
+    ones, tens = frontend.ONES[lang], frontend.TENS[lang]
+    pick = lambda words, at: f"list_extract([{', '.join(repr(w) for w in words)}], {at})"
+    hundred, thousand = frontend.HUNDRED[lang], frontend.SCALES[lang][0]
+
+    def below(x: str) -> str:
+        many = f"CASE WHEN {x} // 100 = 1 THEN '{hundred}' ELSE {pick(ones, f'CAST({x} // 100 + 1 AS INT)')} || ' {hundred}' END" if lang == "tr" else f"{pick(ones, f'CAST({x} // 100 + 1 AS INT)')} || ' {hundred}'"
+        small = f"CASE WHEN {x} % 100 < {len(ones)} THEN CASE WHEN {x} % 100 > 0 THEN {pick(ones, f'CAST({x} % 100 + 1 AS INT)')} ELSE '' END ELSE trim({pick(tens, f'CAST({x} % 100 // 10 AS INT)')} || ' ' || CASE WHEN {x} % 10 > 0 THEN {pick(ones, f'CAST({x} % 10 + 1 AS INT)')} ELSE '' END) END"
+        return f"trim(CASE WHEN {x} >= 100 THEN {many} ELSE '' END || ' ' || {small})"
+
+    lead = f"CASE WHEN {n} // 1000 = 1 THEN '{thousand}' ELSE {below(f'({n} // 1000)')} || ' {thousand}' END" if lang == "tr" else f"{below(f'({n} // 1000)')} || ' {thousand}'"
+    return f"CASE WHEN {n} = 0 THEN '{ones[0]}' ELSE trim(CASE WHEN {n} >= 1000 THEN {lead} ELSE '' END || ' ' || {below(f'({n} % 1000)')}) END"
+
+
+@query(f"WITH n AS (SELECT o_orderkey, o_orderkey * 37 % 1000000 AS n FROM orders) SELECT o_orderkey, {_said('n', 'tr')} AS tr, {_said('n', 'en')} AS en FROM n")
+def h9_number_words(s, d):
+    words = lambda lang: frontend.normalized((F.col("o_orderkey") * 37 % 1_000_000).cast("string"), F.lit(lang))
+    return table(s, d, "orders", "o_orderkey").select("o_orderkey", words("tr").alias("tr"), words("en").alias("en"))
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS o FROM orders), n AS (SELECT o_orderkey, day(o) AS dd, month(o) AS mm, year(o) AS yy FROM x)
+           SELECT o_orderkey, {_said('dd', 'tr')} || ' ' || list_extract([{', '.join(repr(m) for m in frontend.MONTHS)}], CAST(mm AS INT)) || ' ' || {_said('yy', 'tr')} || ' günü, yüzde ' || {_said('dd', 'tr')} || ', ' || {_said('yy', 'tr')} || ' Türk lirası, doktor' AS said FROM n""")
+def h11_dates_and_amounts(s, d):
+    o = F.col("o_orderdate").cast("date")
+    t = F.concat(F.dayofmonth(o), F.lit("."), F.month(o), F.lit("."), F.year(o), F.lit(" günü, %"), F.dayofmonth(o), F.lit(", "), F.year(o), F.lit(" TL, Dr."))
+    return table(s, d, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", frontend.normalized(t, F.lit("tr")).alias("said"))
+
+
+@query("SELECT request_id, id, text FROM synthesis_request ORDER BY request_id LIMIT 100")
+def f1_first_rows(s, d):
+    """A limit is the feature here."""
+    return datasets.taken(table(s, d, "synthesis_request", "request_id", "id", "text"), "request_id", 100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

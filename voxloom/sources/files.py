@@ -108,6 +108,55 @@ def decode_wav(data: bytes | None) -> tuple[list[float], int] | None:
         return None
 
 
+def encode_wav(samples, rate: int) -> bytes | None:
+    """16-bit mono PCM WAV of samples, cut to -1 and 1; null for null."""
+    if samples is None:
+        return None
+    x = np.nan_to_num(np.asarray(samples, dtype=np.float64))
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(int(rate))
+        w.writeframes(np.rint(np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def encoded_wav(samples: Column, rate: Column) -> Column:
+    """:func:`encode_wav` of each row."""
+
+    @F.pandas_udf("binary")
+    def run(xs: pd.Series, rates: pd.Series) -> pd.Series:
+        return pd.Series([encode_wav(x, r) for x, r in zip(xs, rates)])
+
+    return run(samples, rate)
+
+
+def write_wavs(df: DataFrame, samples: str, path: str, root: str, rate: int = 24000) -> DataFrame:
+    """A WAV file for each row, below ``root`` at its ``path``, written where the row is by
+    the executor that holds it, whole or not at all: ``df`` with ``bytes_written``. ``root``
+    is a folder that all executors mount; rows are written once a row, so ``path`` must be unique."""
+
+    @F.pandas_udf("long")
+    def run(xs: pd.Series, paths: pd.Series) -> pd.Series:
+        sizes = []
+        for x, p in zip(xs, paths):
+            data = encode_wav(x, rate)
+            if data is None or p is None:
+                sizes.append(None)
+                continue
+            target = Path(root) / p
+            target.parent.mkdir(parents=True, exist_ok=True)
+            handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
+            with os.fdopen(handle, "wb") as f:
+                f.write(data)
+            os.replace(name, target)
+            sizes.append(len(data))
+        return pd.Series(sizes, dtype="Int64")
+
+    return df.withColumn("bytes_written", run.asNondeterministic()(F.col(samples), F.col(path)))
+
+
 def decoded(shards: DataFrame, audio: str = "audio", text: str = "text", least: float = 0.2, most: float = 30.0, rate: int = 24000) -> DataFrame:
     """Shard rows (audio: struct<bytes, path>, text) with samples, sample_rate, n_frames
     and ``dropped`` (null, or why: missing, decode, duration). The length is read from
