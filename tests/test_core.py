@@ -436,3 +436,130 @@ def test_queries_run_on_the_smallest_tables(spark, sf):
     assert set(sql) <= set(q) and e.entry(spark).count() > 0
     for name in ("d1_aggregate_numeric", "g6_accepted", "i5_completions", "n1_stream_ingest"):
         assert q[name](spark, sf).count() > 0
+
+
+# whole runs
+
+
+def _clip(seconds, rate=2000, pitch=110.0, level=0.3):
+    return (level * np.sin(2 * np.pi * pitch * np.arange(int(seconds * rate)) / rate)).astype(np.float32)
+
+
+def test_resample_keeps_a_tone():
+    for rate, to in ((44100, 24000), (8000, 24000), (24000, 16000)):
+        x = np.sin(2 * np.pi * 440 * np.arange(rate // 2) / rate)
+        y = signal.resample(x, rate, to)
+        want = np.sin(2 * np.pi * 440 * np.arange(len(y)) / to)
+        assert len(y) == -(-len(x) * to // rate) and np.abs(y - want)[200:-200].max() < 0.02
+    assert signal.resample([], 8000, 16000).size == 0
+
+
+def test_preprocess(spark, tmp_path):
+    import pandas as pd
+
+    from voxloom.operators import verbs
+    from voxloom.plans.protocols import Hook
+    from voxloom.plans.settings import Encode
+
+    seen = []
+    rows = [(i, (bytearray(files.encode_wav(_clip(0.5 + i / 10), 2000)), "x"), f"text {i}") for i in range(9)]
+    rows += [(9, (bytearray(b"no wav"), "x"), "t"), (10, None, "t"), (11, (bytearray(files.encode_wav(_clip(90), 2000)), "x"), "t"), (12, (bytearray(files.encode_wav(_clip(1), 2000)), "x"), " "), (13, (bytearray(files.encode_wav(_clip(1), 4000)), "x"), "other rate")]
+    shards = spark.createDataFrame(rows, "position long, audio struct<bytes:binary,path:string>, text string")
+
+    def encode(x):
+        if len(x) > 3:
+            raise MemoryError
+        return pd.DataFrame({"codes": [[[len(s) // 160] * (len(s) // 160)] * 2 for s in x["samples"]]})
+
+    made = verbs.preprocess(shards, tokens.TokenLayout(1000, 2, 2, 2048), Hook("codec", ("samples",), "codes array<array<int>>", encode), settings=Encode(batch_rows=4, bucket_rows=8), rate=2000, target=f"file:{tmp_path}/tokens")
+    got = {r.position: r.input_ids for r in made.sequences.collect()}
+    assert set(got) == {*range(9), 13} and got[0] == [1003, *map(ord, "text 0"), 2, 1004, 1005, 1001, *[1010 + 6, 1010 + 2048 + 6] * 6, 1002]
+    assert got[13].count(1010 + 6) == 6  # half a second, whatever the rate it came with
+    assert {r.dropped: r.n_rows for r in made.dropped.collect()} == {"decode": 1, "missing": 2, "duration": 1}
+    stats = made.stats.first()
+    assert (stats.n_input, stats.n_rows, stats.n_dropped) == (14, 10, 4) and 0 < stats.efficiency <= 1 and not seen
+    assert spark.read.parquet(f"file:{tmp_path}/tokens").count() == 10
+
+
+def _asked(spark, rows):
+    from voxloom.operators import verbs
+
+    asked = verbs.requests(spark.createDataFrame(rows, "request_id long, id string, text string, reference_audio string, reference_text string, emotion string, control string"))
+    return asked.withColumns({"target_duration_seconds": F.lit(1.0), "reference_seconds": F.lit(None).cast("double")})
+
+
+def test_requests_of_a_manifest(spark):
+    got = {r.request_id: r for r in _asked(spark, [(1, "a", "x", "r.wav", "y", "Joy", None), (2, None, "x", "r.wav", "", None, '{"emotion":"anger","intensity":0.5}'), (3, None, None, None, None, None, None)]).collect()}
+    assert [got[i].ok for i in (1, 2, 3)] == [True, False, False] and got[1].output_path == "out/a.wav" and got[2].output_path == "out/2.wav"
+    assert (got[1].control.emotion, got[2].control.emotion, got[2].control.intensity, got[3].control.emotion) == ("joy", "anger", 0.5, "neutral")
+
+
+def test_infer_takes_the_best_and_tries_again(spark):
+    import pandas as pd
+
+    from voxloom.operators import verbs
+    from voxloom.plans.protocols import Hook
+
+    asked = _asked(spark, [(1, "a", "eins", "r", "y", None, None), (2, "b", "zwei", "r", "y", None, None), (3, "c", "drei", "r", "y", None, None), (4, "d", "", "r", "y", None, None)])
+
+    def generate(x):  # request "zwei" succeeds at its third candidate, "drei" never
+        good = [("eins" in t) or ("zwei" in t and c >= 2) for t, c in zip(x["model_text"], x["candidate"])]
+        return pd.DataFrame({"samples": [_clip(1.0 if g else 9.0) for g in good]})
+
+    verify = Hook("asr", ("said", "samples"), "transcript string", lambda x: pd.DataFrame({"transcript": x["said"]}))
+    made = verbs.infer(asked, Hook("model", ("model_text", "candidate"), "samples array<float>", generate), verify, ranking.Gate(minimum_technical_quality=0.0, maximum_repetition_similarity=1.0), 2, 4, 2000)
+    won = {r.request_id: (r.candidate, r.accepted) for r in made.winners.collect()}
+    assert won == {1: (0, True), 2: (2, True), 3: (0, False), 4: (None, None)} and not made.accepted()
+    assert {(r.request_id, r["count"]) for r in made.candidates.groupBy("request_id").count().collect()} == {(1, 2), (2, 4), (3, 4)}
+
+
+def test_long_texts_go_on_from_chunk_to_chunk(spark):
+    import pandas as pd
+
+    from voxloom.operators import verbs
+    from voxloom.plans.protocols import Hook
+
+    asked = _asked(spark, [(1, "a", "Erster Satz hier. Zweiter Satz dort. Dritter Satz da.", "r", "y", None, None), (2, "b", "Nur ein Satz.", "r", "y", None, None)])
+    asked = asked.withColumn("reference_samples", F.array_repeat(F.lit(0.5).cast("float"), 1000))
+    lengths = lambda x: pd.DataFrame({"samples": [np.full(2000, len(r) / 10_000, np.float32) for r in x["reference_samples"]]})
+    gate = ranking.Gate(require_asr=False, minimum_technical_quality=0.0, maximum_repetition_similarity=1.0, minimum_duration_ratio=0.01, maximum_duration_ratio=99.0)
+    results, chunks = verbs.infer_long(asked, Hook("model", ("model_text", "candidate", "reference_samples"), "samples array<float>", lengths), gate, 20, 2000, fade=0.0)
+    got = {r.request_id: r for r in results.collect()}
+    first, later = 1000, 1000 + int(0.08 * 2000) + 2000  # the original; with a pause and the chunk before
+    assert got[1].n_chunks == 3 and got[2].n_chunks == 1 and len(got[1].samples) == 6000
+    assert [round(got[1].samples[i] * 10_000) for i in (0, 2000, 4000)] == [first, later, later] and chunks.count() == 4
+
+
+def test_command_verbs(spark, tmp_path, capsys):
+    import json
+
+    from voxloom.__main__ import main
+
+    (tmp_path / "m.jsonl").write_text('{"id":"a","audio":"x","text":"hello there","speaker":"s"}\n{"id":"b","audio":"y","text":"h","speaker":"s"}\n')
+    at = f"file:{tmp_path}"
+    assert main(["audit", f"{at}/m.jsonl", f"{at}/good", f"{at}/bad"], spark) == 0
+    assert json.loads(capsys.readouterr().out) == {"n_input": 2, "n_accepted": 1, "n_rejected": 1, "reasons": {"text_length": 1}}
+    assert main(["audit", f"{at}/m.jsonl", f"{at}/good", f"{at}/bad", "--thresholds", '{"minimum_characters": 9, "maximum_characters": 1}'], spark) == 2
+    (tmp_path / "r" / "deep").mkdir(parents=True)
+    for name, score in (("r/a", 0.9), ("r/deep/b", 0.5)):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"text": "t", "winner": {"audio_path": "w", "score": score, "accepted": True, "verification": {"cer": 0.0}}}))
+    assert main(["distill", f"{at}/r/**/*.json", f"{at}/kept"], spark) == 2
+    assert json.loads(capsys.readouterr().out) == {"n_reports": 2, "n_kept": 1}
+    assert [r.id for r in spark.read.json(f"{at}/kept").collect()] == ["a"] and [p.rpartition("/")[2] for p in files.report_paths(spark, [f"{at}/r/*.json"])] == ["a.json"]
+    with pytest.raises(FileNotFoundError):
+        files.report_paths(spark, [f"{at}/none/*.json"])
+    with pytest.raises(SystemExit):
+        main(["nothing"], spark)
+
+
+def test_restricted_log_probabilities(spark):
+    scores = [0.5, 1.0, -1.0, 2.0, 0.0]
+    got = spark.range(1).select(tokens.restricted_log_probabilities(F.array(*map(F.lit, scores)), F.lit(1), F.lit(3), F.lit(4)).alias("x")).select("x", tokens.entropy(F.col("x")).alias("e")).first()
+    p = np.exp([1.0, -1.0, 0.0]) / np.exp([1.0, -1.0, 0.0]).sum()
+    assert np.exp(got.x) == pytest.approx(p) and got.e == pytest.approx(-(p * np.log(p)).sum())
+
+
+def test_wavs_are_written_and_read(spark, tmp_path):
+    rows = spark.createDataFrame([(1, [0.0, 0.5, -0.5], "a/1.wav"), (2, None, "a/2.wav")], "id long, samples array<float>, path string")
+    got = {r.id: r.bytes_written for r in files.write_wavs(rows, "samples", "path", str(tmp_path), 8000).collect()}
+    assert got == {1: 50, 2: None} and files.decode_wav((tmp_path / "a/1.wav").read_bytes())[1] == 8000

@@ -7,8 +7,10 @@ Arrow batches.
 
 from __future__ import annotations
 
+import math
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -239,6 +241,50 @@ def analyzed(wave: Column, rate: Column) -> Column:
     return run.asNondeterministic()(wave, rate)
 
 
+@lru_cache(maxsize=32)
+def _sinc_kernels(up: int, down: int, crossings: int = 6, rolloff: float = 0.99) -> tuple[np.ndarray, np.ndarray]:
+    """(taps, weights): weights of each of ``up`` phases over input samples at ``taps`` around
+    the one before the output's time; a windowed sinc cut off below the lower rate."""
+    cut = rolloff * min(1.0, up / down)
+    half = int(np.ceil(crossings / cut))
+    taps = np.arange(-half, half + 2)
+    phase = (np.arange(up) * down % up) / up
+    t = (taps[None, :] - phase[:, None]) * cut
+    window = np.where(np.abs(t) < crossings, np.cos(np.pi * t / crossings / 2) ** 2, 0.0)
+    return taps, cut * np.sinc(t) * window
+
+
+def resample(x, rate: int, to: int) -> np.ndarray:
+    """A signal at another rate, by windowed-sinc interpolation; its length is rounded up."""
+    x = np.asarray(x, np.float64)
+    if rate == to or not x.size:
+        return x.astype(np.float32)
+    if rate < 1 or to < 1:
+        raise ValueError("rates must be positive")
+    g = math.gcd(rate, to)
+    up, down = to // g, rate // g
+    taps, weights = _sinc_kernels(up, down)
+    n = -(-x.size * up // down)
+    edge = taps.size
+    wide = np.pad(x, edge)
+    out = np.empty(n, np.float32)
+    for a in range(0, n, 65_536):  # memory stays bounded on long signals
+        k = np.arange(a, min(n, a + 65_536))
+        at = k * down // up + edge
+        out[k] = (wide[np.clip(at[:, None] + taps, 0, wide.size - 1)] * weights[k % up]).sum(1)
+    return out
+
+
+def resampled(wave: Column, rate: Column, to: int) -> Column:
+    """:func:`resample` of each row; null for a null signal or rate."""
+
+    @F.pandas_udf("array<float>")
+    def run(waves: pd.Series, rates: pd.Series) -> pd.Series:
+        return pd.Series([None if w is None or pd.isna(r) else resample(w, int(r), to) for w, r in zip(waves, rates)])
+
+    return run(wave, rate)
+
+
 def spectral_distance(a, b, rate: int) -> float | None:
     """Mean over windows of the root mean square of log-magnitude differences in dB."""
     if a is None or b is None:

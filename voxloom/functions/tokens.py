@@ -178,6 +178,27 @@ class TokenLayout:
         return F.struct(low.alias("low"), high.alias("high"), (edge & (frame >= least)).alias("may_end"), (edge & (frame >= most)).alias("must_end"))
 
 
+def restricted_log_probabilities(scores: Column, low: Column, high: Column, end: Column | None = None) -> Column:
+    """Log probabilities of the ids ``low`` to ``high - 1`` of a vocabulary's ``scores``, and
+    of ``end`` behind them where it is not null: a softmax over these alone."""
+    own = F.slice(scores, low + 1, high - low)
+    if end is not None:
+        own = F.concat(own, F.when(end.isNotNull(), F.array(F.get(scores, end))).otherwise(F.slice(scores, 1, 0)))
+
+    def normal(x: Column) -> Column:
+        def less(top: Column) -> Column:
+            return let(top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))), lambda total: F.transform(x, lambda v: v - total))
+
+        return let(F.array_max(x), less)
+
+    return let(F.transform(own, lambda v: v.cast("double")), normal)
+
+
+def entropy(log_probabilities: Column) -> Column:
+    """In nats, of log probabilities that sum to one."""
+    return -F.aggregate(log_probabilities, F.lit(0.0), lambda a, v: a + F.when(v > float("-inf"), v * F.exp(v)).otherwise(0.0))
+
+
 def code_points(text: Column) -> Column:
     """The code-point tokenizer: a stand-in for a vocabulary (null for null)."""
     return F.when(F.length(text) > 0, F.transform(F.split(text, ""), lambda c: F.ascii(c))).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))

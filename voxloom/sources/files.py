@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxloom.functions.signal import resample
 from voxloom.functions.tokens import frame_count
 
 MANIFEST = "id string, audio string, text string, speaker string, language string, license string"
@@ -74,8 +75,41 @@ def append_hard_cases(df: DataFrame, path: str) -> None:
     df.select(sorted_json(df).alias("value")).write.mode("append").text(path)
 
 
+def report_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
+    """Files of the patterns, sorted, each once: ``**`` searches folders at any depth; a
+    pattern that matches nothing but names a file stands for it; one that is neither
+    is an error."""
+    import fnmatch
+
+    from voxloom.plans.scale import file_system
+
+    out: set[str] = set()
+    for pattern in patterns:
+        head = pattern.split("*", 1)[0].split("?", 1)[0].split("[", 1)[0]
+        fs, root = file_system(spark, head.rpartition("/")[0] or "/")
+        _, literal = file_system(spark, pattern.replace("*", "_")) if "*" in pattern else file_system(spark, pattern)
+        found: set[str] = set()
+        if pattern != head and fs.exists(root):
+            files_ = fs.listFiles(root, "**" in pattern or "/" in pattern[len(head.rpartition("/")[0]) + 1 :])
+            plain = pattern.split(":", 1)[1].replace("///", "/") if pattern.startswith("file:") else pattern
+            depth = None if "**" in plain else plain.count("/")
+            while files_.hasNext():
+                p = files_.next().getPath()
+                path = p.toUri().getPath() if pattern.startswith(("/", "file:")) else p.toString()
+                if fnmatch.fnmatchcase(path, plain.replace("**/", "*")) and (depth is None or path.count("/") == depth):
+                    found.add(p.toString())
+        elif pattern == head and fs.exists(literal):
+            found.add(pattern)
+        if not found:
+            raise FileNotFoundError(pattern)
+        out |= found
+    return sorted(out)
+
+
 def read_reports(spark: SparkSession, paths: list[str], schema: str = REPORT) -> DataFrame:
-    """Generation reports, one JSON document a file; without an id the file's stem is it."""
+    """Generation reports of :func:`report_paths`, one JSON document a file; without an id
+    the file's stem is it."""
+    paths = report_paths(spark, paths)
     raw = spark.read.option("multiLine", True).schema(schema).json(sorted(paths)).select("*", F.col("_metadata.file_name").alias("_name"))
     stem = F.regexp_replace("_name", r"\.[^.]*$", "")
     return raw.withColumn("id", F.coalesce("id", stem)).withColumn("winner", F.struct("winner.audio_path", "winner.score", "winner.accepted", F.col("winner.verification.cer").alias("cer"))).drop("_name")
@@ -160,7 +194,8 @@ def write_wavs(df: DataFrame, samples: str, path: str, root: str, rate: int = 24
 def decoded(shards: DataFrame, audio: str = "audio", text: str = "text", least: float = 0.2, most: float = 30.0, rate: int = 24000) -> DataFrame:
     """Shard rows (audio: struct<bytes, path>, text) with samples, sample_rate, n_frames
     and ``dropped`` (null, or why: missing, decode, duration). The length is read from
-    the header in the JVM before any byte goes to Python."""
+    the header in the JVM before any byte goes to Python; signals of another rate are
+    resampled to ``rate``."""
     base = shards.withColumn("_bytes", F.col(f"{audio}.bytes")).withColumn("_missing", F.col("_bytes").isNull() | (F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0))
     seconds = wav_seconds(F.col("_bytes"))
     base = base.withColumn("_bad", F.when(F.col("_missing"), "missing").when(seconds.isNotNull() & ~seconds.between(least, most), "duration"))
@@ -168,7 +203,7 @@ def decoded(shards: DataFrame, audio: str = "audio", text: str = "text", least:
     @F.pandas_udf("struct<samples:array<float>,sample_rate:int>")
     def run(data: pd.Series) -> pd.DataFrame:
         rows = [decode_wav(d) or (None, None) for d in data]
-        return pd.DataFrame({"samples": [r[0] for r in rows], "sample_rate": pd.array([r[1] for r in rows], dtype="Int32")})
+        return pd.DataFrame({"samples": [x if x is None or r == rate else resample(x, r, rate) for x, r in rows], "sample_rate": pd.array([None if x is None else rate for x, _ in rows], dtype="Int32")})
 
     made = base.withColumn("_d", run.asNondeterministic()(F.when(F.col("_bad").isNull(), F.col("_bytes"))))
     took = F.size("_d.samples") / F.col("_d.sample_rate")
@@ -183,13 +218,20 @@ def wav_seconds(data: Column) -> Column:
     return F.when(canonical & (number(29, 4) > 0), number(41, 4) / number(29, 4))
 
 
-def write_tokens(df: DataFrame, path: str, mode: str = "error") -> None:
-    """Token sequences alone: snappy, no dictionary; an empty table is a valid one."""
-    df.select(F.col("input_ids").cast("array<int>")).write.mode(mode).option("compression", "snappy").option("parquet.enable.dictionary", "false").parquet(path)
+def _row_groups(rows: int) -> dict[str, str]:
+    """Options for row groups of about ``rows`` rows: the size is looked at as often as that."""
+    return {"parquet.block.row.count.limit": str(rows), "parquet.page.row.count.limit": str(rows)}
+
+
+def write_tokens(df: DataFrame, path: str, mode: str = "error", group_rows: int = 256) -> None:
+    """Token sequences alone: snappy, no dictionary, no statistics of the ids; an empty table
+    is a valid one."""
+    plain = {"compression": "snappy", "parquet.enable.dictionary": "false", "parquet.column.statistics.enabled": "false"}
+    df.select(F.col("input_ids").cast("array<int>")).write.mode(mode).options(**plain, **_row_groups(group_rows)).parquet(path)
 
 
-def write_expressive(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).option("compression", "zstd").parquet(path)
+def write_expressive(df: DataFrame, path: str, mode: str = "error", group_rows: int = 256) -> None:
+    df.write.mode(mode).options(compression="zstd", **_row_groups(group_rows)).parquet(path)
 
 
 def merged(base: Mapping, over: Mapping) -> dict:
