@@ -309,14 +309,16 @@ def _automaton() -> ahocorasick.Automaton:
 _LITERALS = None
 
 
-def _bits(text: str) -> int:
+def _bits(text: str) -> tuple[int, int]:
+    """(bits, signs): the literals in a text, and how many of them may be weak signs."""
     global _LITERALS
     if _LITERALS is None:
         _LITERALS = _automaton()
-    out = 0
+    out = signs = 0
     for _, bit in _LITERALS.iter(text.replace("İ", "i").lower()):
         out |= bit
-    return out
+        signs += bit >= _WEAK_BIT
+    return out, signs
 
 
 _STATUS_NUMBER = re.compile(r"(?<!\d)[45]\d\d(?!\d)")
@@ -375,8 +377,8 @@ def line_kinds(line: str) -> set[str]:
 
 
 def _line(line: str) -> tuple[set[str], int, int]:
-    """(kinds, weak, bits): what stands in place of content in a line, the number of words
-    of sentences that only look like a message, and what literals it holds."""
+    """(kinds, weak, signs): what stands in place of content in a line, the number of words
+    of sentences that only look like a message, and an upper bound of its weak signs."""
     line = line.strip()
     if line and not line[0].isalpha():
         line = _PREFIX.sub("", line)
@@ -405,16 +407,16 @@ def _line(line: str) -> tuple[set[str], int, int]:
                 kinds.add("placeholder")
         if _OBJECT.search(line):
             kinds.add("value")
-    bits = _bits(line)
+    bits, signs = _bits(line)
     fails = bits & _FAIL_BIT and bits & _THING_BIT
     if not (fails or bits & (_MESSAGE_BIT | _SCRIPT_BIT | _VALUE_BIT) or _STATUS_NUMBER.search(line) or _TRACE.match(line)):
-        return kinds, 0, bits  # nothing below can match
+        return kinds, 0, signs  # nothing below can match
     sentences = _sentences(line)
     if len(sentences) == 1:
         told = [_messages(sentences[0], True, bits)]
     else:
-        told = [_messages(x.rstrip(".") if x[:1].isalpha() else x, False, _bits(x)) for x in sentences]
-    return kinds.union(*(k for k, _ in told)), sum(len(x.split()) for x, (_, weak) in zip(sentences, told) if weak), bits
+        told = [_messages(x.rstrip(".") if x[:1].isalpha() else x, False, _bits(x)[0]) for x in sentences]
+    return kinds.union(*(k for k, _ in told)), sum(len(x.split()) for x, (_, weak) in zip(sentences, told) if weak), signs
 
 
 def _terms(t: str) -> set[str]:
@@ -433,19 +435,18 @@ def evidence(text: str | None, source: str | None) -> tuple[list[str], list[int]
     with them (from 1), their share of the characters; how little slug and title have to
     do with the body (0 to 1, 1 where they share no term); the share of words in sentences
     that look like a message or in signs of one; and a digest of the text without digits
-    and marks, null for a text without a sign of a message."""
+    and marks. Without a kind, and with signs below ``DENSITY``, nothing can make residue
+    of a text: all are 0 or null then."""
     kinds: set[str] = set()
     lines: list[int] = []
-    flagged = total = same = weak = 0
-    signs: list[tuple[str, re.Match]] = []
+    flagged = total = same = weak = most = 0
     plain = _TAG.sub("", text or "")
     rows = plain.split("\n")
     for i, line in enumerate(rows, 1):
         total += len(line.strip())
-        k, looks, bits = _line(line)
+        k, looks, signs = _line(line)
         weak += looks
-        if bits & _WEAK_BIT:
-            signs += [(line, m) for m in _WEAK_SIGN.finditer(line)]
+        most += signs
         same = same + 1 if i > 1 and line == rows[i - 2] and line.strip() else 0
         if same == 2 and len(_SENTENCE.split(line.strip())) == 1 and "," not in line:  # one plain line three times on end
             k = k | {"filler"}
@@ -453,6 +454,15 @@ def evidence(text: str | None, source: str | None) -> tuple[list[str], list[int]
             kinds |= k
             lines.append(i)
             flagged += len(line.strip())
+    density = 0.0
+    if weak or most:
+        words = max(1, len(plain.split()), len(plain) // 12)
+        if max(weak, most) >= DENSITY * words:  # fewer signs decide nothing
+            found_ = [(x, m) for x in rows for m in _WEAK_SIGN.finditer(x)]
+            if weak or found_ and not _told(*found_[0]):
+                density = max(weak, len(found_)) / words
+    if not kinds and density < DENSITY:
+        return [], [], 0.0, 0.0, 0.0, None
     filled = [r for r in rows if r.strip()]
     if kinds & {"error"}:  # the reference number below a message belongs to it
         lines = sorted({*lines, *(i for i, r in enumerate(rows, 1) if _NUMBER.match(r.strip()))})
@@ -460,10 +470,7 @@ def evidence(text: str | None, source: str | None) -> tuple[list[str], list[int]
     head = _terms(title.partition(" | ")[0]) | _terms((source or "").replace("-", " "))
     terms = _terms(body)
     mismatch = 1 - len(head & terms) / max(1, min(len(head), len(terms)))
-    density = 0.0
-    if weak or signs and not _told(*signs[0]):
-        density = max(weak, len(signs)) / max(1, len(plain.split()), len(plain) // 12)
-    return sorted(kinds), lines, flagged / max(1, total), mismatch, density, shape(plain) if kinds or density else None
+    return sorted(kinds), lines, flagged / max(1, total), mismatch, density, shape(plain)
 
 
 def shape(text: str) -> str | None:
