@@ -199,6 +199,16 @@ def test_aggregate_numeric(spark):
     assert measures.aggregate_numeric(spark.createDataFrame([], "s string")).count() == 0
 
 
+def test_percentiles_without_a_buffer(spark):
+    r = np.random.default_rng(3)
+    x = {"a": r.normal(size=3000), "b": np.round(r.exponential(size=3000), 1), "c": np.full(3000, 7.0), "d": r.normal(size=3000) * 1e300}
+    df = spark.createDataFrame([tuple(map(float, v)) for v in zip(*x.values())], "a double, b double, c double, d double").repartition(5)
+    df = df.unionByName(spark.createDataFrame([(None, None, None, None), (float("nan"), None, float("inf"), None)], df.schema))
+    got = {m.metric: m for m in measures.aggregate_numeric(df, in_memory=10).collect()}
+    for k, v in x.items():
+        assert (got[k].n_values, got[k]["median"], got[k].p95) == (3000, pytest.approx(np.quantile(v, 0.5)), pytest.approx(np.quantile(v, 0.95)))
+
+
 def test_audit(spark):
     rows = [(1, "a", "x.wav", "Hello  World", "s", "cc0"), (2, "b", "x.wav", "other text", "t", None), (3, "c", "y.wav", "hello world ", "s", "cc0"), (4, None, None, None, None, ""), (5, "e", "z.wav", "x", "s", "l"), (6, "f", "x.wav", "HELLO WORLD", "s", "l")]
     df = spark.createDataFrame(rows, "row_no long, id string, audio string, text string, speaker string, license string")

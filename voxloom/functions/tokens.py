@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -140,33 +142,81 @@ class TokenLayout:
         n = F.size(body)
         return F.when((n > 0) & (self.valid_prefix(body) == n) & (F.pmod(n, F.lit(self.codebooks)) == 0), body)
 
-    def parts(self, ids: Column, frame_rate: float = 12.5) -> Column:
+    def _places(self, ids: Column) -> Column:
+        """struct(sos, eot, payload, terminated, good, ordered, headed) of a training sequence:
+        places of its markers (from 1, 0 without), length of what follows up to the end
+        of speech, whether that end is there, how many ids of it fit their codebooks,
+        whether the markers between are right and the first id is. One pass over the flat
+        values of a batch; arrays of ids are never made."""
+        base, eot, books, size = self.base, self.eot, self.codebooks, self.size
+
+        @F.arrow_udf("struct<sos:int,eot:int,payload:int,terminated:boolean,good:int,ordered:boolean,headed:boolean>")
+        def run(lists: pa.Array) -> pa.Array:
+            n = len(lists)
+            offsets = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            v = lists.values.fill_null(-1).to_numpy(zero_copy_only=False)
+            start, end = offsets[:-1], offsets[1:]
+            first, last = (int(start[0]), int(end[-1])) if n else (0, 0)
+            v = v[first:last]
+            start, end = start - first, end - first
+            row = np.repeat(np.arange(n), end - start)
+
+            def first_of(hits: np.ndarray, missing: np.ndarray) -> np.ndarray:
+                """Place of the first hit of each row in the values."""
+                out = missing.copy()
+                at, where = np.unique(row[hits], return_index=True)
+                out[at] = hits[where]
+                return out
+
+            sos = first_of(np.flatnonzero(v == base + SOS), end)
+            turn = np.flatnonzero(v == eot)
+            turn = first_of(turn[turn < sos[row[turn]]], end)
+            stop = np.flatnonzero(v == base + EOS_SPEECH)
+            stop = first_of(stop[stop > sos[row[stop]]], end)
+            at = np.arange(v.size)
+            k = at - sos[row] - 1
+            code = v - (base + AUDIO) - np.maximum(k, 0) % books * size
+            bad = np.flatnonzero((k >= 0) & (at < stop[row]) & ((code < 0) | (code >= size)))
+            begin = np.minimum(sos + 1, end)
+            good = first_of(bad, np.maximum(stop, begin)) - begin
+            ordered = (sos < end) & (turn < end) & (sos == turn + 3)
+            look = np.flatnonzero(ordered)
+            ordered[look] = (v[turn[look] + 1] == base + EOH) & (v[turn[look] + 2] == base + SOA)
+            headed = end > start
+            headed[headed] = v[start[headed]] == base + SOH
+            place = lambda x: np.where(x < end, x - start + 1, 0).astype(np.int32)
+            columns = (place(sos), place(turn), (stop - begin).clip(0).astype(np.int32), stop < end, good.astype(np.int32), ordered, headed)
+            return pa.StructArray.from_arrays([pa.array(c) for c in columns], ["sos", "eot", "payload", "terminated", "good", "ordered", "headed"])
+
+        return run(F.coalesce(ids, F.array().cast("array<int>")))
+
+    def parts(self, ids: Column, frame_rate: float = 12.5, places: bool = False) -> Column:
         """struct(prompt, text_ids, audio_ids, seconds, error) of a training sequence;
-        error names the first rule that it breaks, the others are null then."""
-        sos = F.array_position(ids, F.lit(self.base + SOS)).cast("int")
-        head = F.slice(ids, 1, F.greatest(sos - 1, F.lit(0)))
-        eot = F.array_position(head, F.lit(self.eot)).cast("int")
-        done = self.completion(F.slice(ids, F.greatest(sos + 1, F.lit(1)), F.size(ids)))
-        found = F.struct(done.alias("done"), sos.alias("sos"), eot.alias("eot"))
+        error names the first rule that it breaks, the others are null then. With
+        ``places`` the lengths prompt_len, text_len and audio_len take the place of the arrays."""
 
         def told(x: Column) -> Column:
+            frames = F.floor(x["good"] / self.codebooks)
+            valid = x["terminated"] & (frames > 0) & (x["good"] == x["payload"]) & (F.pmod(x["payload"], F.lit(self.codebooks)) == 0)
             error = (
                 F.when(ids.isNull() | (F.size(ids) < 1), "empty")
                 .when((x["sos"] < 1) | (x["eot"] < 1), "markers")
-                .when(F.get(ids, F.lit(0)) != self.base + SOH, "start")
-                .when((x["sos"] != x["eot"] + 3) | (F.slice(ids, F.greatest(x["eot"] + 1, F.lit(1)), 3) != self._ids(EOH, SOA, SOS)), "order")
-                .when(~x["done"]["valid"], "audio")
+                .when(~x["headed"], "start")
+                .when(~x["ordered"], "order")
+                .when(~valid, "audio")
             )
             keep = lambda c: F.when(error.isNull(), c)
-            return F.struct(
-                keep(F.slice(ids, 1, F.greatest(x["sos"], F.lit(0)))).alias("prompt"),
-                keep(F.slice(ids, 2, F.greatest(x["eot"] - 2, F.lit(0)))).alias("text_ids"),
-                keep(x["done"]["payload"]).alias("audio_ids"),
-                keep(x["done"]["frames"] / F.lit(float(frame_rate))).alias("seconds"),
-                error.alias("error"),
-            )
-
-        return let(found, told)
+            if places:
+                made = [keep(x["sos"]).alias("prompt_len"), keep(x["eot"] - 2).alias("text_len"), keep(x["payload"]).alias("audio_len")]
+            else:
+                made = [
+                    keep(F.slice(ids, 1, F.greatest(x["sos"], F.lit(0)))).alias("prompt"),
+                    keep(F.slice(ids, 2, F.greatest(x["eot"] - 2, F.lit(0)))).alias("text_ids"),
+                    keep(F.slice(ids, F.greatest(x["sos"] + 1, F.lit(1)), x["payload"])).alias("audio_ids"),
+                ]
+            return F.struct(*made, keep(frames / F.lit(float(frame_rate))).alias("seconds"), error.alias("error"))
+
+        return let(self._places(ids), told)
 
     def legal(self, position: Column, least: Column, most: Column) -> Column:
         """struct(low, high, may_end, must_end) for the id at a position after the

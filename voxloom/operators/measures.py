@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxloom.functions.tokens import let
+from voxloom.plans.scale import free, written
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -17,16 +18,73 @@ def numeric_columns(df: DataFrame, without: Sequence[str] = ("id", "index")) ->
     return sorted(f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC) and f.name not in without)
 
 
-def aggregate_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+#: Values a column of which percentiles are taken in one buffer; more are searched for.
+IN_MEMORY = 1_000_000
+_SLICES = 1024
+
+
+def aggregate_numeric(df: DataFrame, columns: Sequence[str] | None = None, in_memory: int = IN_MEMORY) -> DataFrame:
     """(metric, mean, median, p95, n_values) of each numeric column: nulls and values
     that aren't finite don't count, percentiles are interpolated, a column without a
-    value has no row. One pass: the columns are aggregated side by side, then stacked."""
+    value has no row. The columns are aggregated side by side. Percentiles are exact
+    at any size: of more than ``in_memory`` values by :func:`order_statistics`."""
     names = list(columns or numeric_columns(df))
+    kinds = "metric string, mean double, median double, p95 double, n_values long"
     if not names:
-        return df.sparkSession.createDataFrame([], "metric string, mean double, median double, p95 double, n_values long")
-    x = {k: F.when(~F.isnan(F.col(k).cast("double")) & (F.abs(F.col(k).cast("double")) < float("inf")), F.col(k).cast("double")) for k in names}
-    one = df.agg(*[F.struct(F.lit(k).alias("metric"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.95)).alias("p95"), F.count(v).alias("n_values")).alias(f"m{i}") for i, (k, v) in enumerate(x.items())])
-    return one.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(names))]))).filter("n_values > 0")
+        return df.sparkSession.createDataFrame([], kinds)
+    x = [F.when(~F.isnan(F.col(k).cast("double")) & (F.abs(F.col(k).cast("double")) < float("inf")), F.col(k).cast("double")).alias(f"v{i}") for i, k in enumerate(names)]
+    kept = written(df.select(*x), "values")
+    facts = kept.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in range(len(names)) for n, f in (("n", F.count), ("m", F.avg))]).first()
+    total = {i: facts[f"n{i}"] for i in range(len(names)) if facts[f"n{i}"]}
+    got: dict[tuple[int, float], float] = {}
+    shares = (0.5, 0.95)
+    small = [i for i, n in total.items() if n <= in_memory]
+    if small:
+        row = kept.agg(*[F.percentile(f"v{i}", F.lit(p)).alias(f"p{i}_{j}") for i in small for j, p in enumerate(shares)]).first()
+        got = {(i, p): row[f"p{i}_{j}"] for i in small for j, p in enumerate(shares)}
+    wanted = {(i, r) for i, n in total.items() if n > in_memory for p in shares for r in (int(p * (n - 1)), min(n - 1, int(p * (n - 1)) + 1))}
+    ranked = order_statistics(kept, wanted)
+    for i, n in total.items():
+        for p in shares if n > in_memory else ():
+            low, part = int(p * (n - 1)), p * (n - 1) - int(p * (n - 1))
+            got[i, p] = ranked[i, low] * (1 - part) + ranked[i, min(n - 1, low + 1)] * part
+    free(kept)
+    return df.sparkSession.createDataFrame([(names[i], facts[f"m{i}"], got[i, 0.5], got[i, 0.95], n) for i, n in total.items()], kinds)
+
+
+def order_statistics(values: DataFrame, wanted: set[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """The values of ranks (column number, rank from 0) of the columns v0, v1, ...: each
+    range that still holds a rank is cut in slices whose counts are summed before the
+    shuffle, until it holds one value. The driver sees a row a slice and rank, never a
+    value a row; memory doesn't grow with the data."""
+    if not wanted:
+        return {}
+    ends = values.agg(*[f(f"v{i}").alias(f"{n}{i}") for i in {i for i, _ in wanted} for n, f in (("a", F.min), ("b", F.max))]).first()
+    open_ = {(i, r): (ends[f"a{i}"], ends[f"b{i}"], 0) for i, r in wanted}  # from, to, values below
+    done: dict[tuple[int, int], float] = {}
+    while open_:
+        done |= {k: a for k, (a, b, _) in open_.items() if a == b}
+        open_ = {k: v for k, v in open_.items() if v[0] != v[1]}
+        ranges = sorted({(i, a, b) for (i, _), (a, b, _) in open_.items()})
+        if not ranges:
+            break
+
+        def slice_of(i: int, a: float, b: float) -> Column:
+            x = F.col(f"v{i}")
+            return F.when(x.between(a, b), F.least(F.lit(_SLICES - 1), F.floor((x / 2 - a / 2) / (b / 2 - a / 2) * _SLICES)))
+
+        each = F.array(*[F.struct(F.lit(k).alias("k"), slice_of(*r).alias("slice"), F.col(f"v{r[0]}").alias("x")) for k, r in enumerate(ranges)])
+        cut = values.select(F.explode(each).alias("e")).filter("e.slice is not null").groupBy("e.k", "e.slice").agg(F.count(F.lit(1)).alias("n"), F.min("e.x").alias("a"), F.max("e.x").alias("b"))
+        slices: dict[int, list] = {}
+        for r in cut.collect():  # at most 1024 a range
+            slices.setdefault(r["k"], []).append((r["slice"], r["n"], r["a"], r["b"]))
+        for key, (a, b, below) in open_.items():
+            for _, n, low, high in sorted(slices[ranges.index((key[0], a, b))]):
+                if key[1] < below + n:
+                    open_[key] = (low, high, below)
+                    break
+                below += n
+    return done
 
 
 def expected_time(event: Column, duration: Column, words: Column) -> Column:

@@ -171,10 +171,8 @@ _PARTS = """
 @query(_PARTS + """ SELECT row_no, CASE WHEN error IS NULL THEN sos END AS prompt_len, CASE WHEN error IS NULL THEN eot - 2 END AS text_len, CASE WHEN error IS NULL THEN len(audio) END AS audio_len,
        CASE WHEN error IS NULL THEN len(audio) / 32 / 12.5::DOUBLE END AS seconds, error FROM q""")
 def i7_split_sequences(s, d):
-    p = LAYOUT.parts(F.col("input_ids"))
-    n = lambda c: F.when(c.isNotNull(), F.size(c))
-    rows = table(s, d, "expressive", "row_no", "input_ids").select("row_no", p.alias("p"))
-    return rows.select("row_no", n(F.col("p.prompt")).alias("prompt_len"), n(F.col("p.text_ids")).alias("text_len"), n(F.col("p.audio_ids")).alias("audio_len"), "p.seconds", "p.error")
+    rows = table(s, d, "expressive", "row_no", "input_ids")
+    return rows.select("row_no", LAYOUT.parts(F.col("input_ids"), places=True).alias("p")).select("row_no", "p.*")
 
 
 @query(_PARTS + " SELECT row_no, len(audio) / 32 / 12.5::DOUBLE AS seconds FROM q WHERE error IS NULL AND sos <= 400 AND len(list_filter(x[2:eot - 1], lambda c: c NOT IN (9, 10, 11, 12, 13, 32, 133, 160, 12288))) > 0")
