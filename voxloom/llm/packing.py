@@ -152,8 +152,12 @@ def pack(sequences: DataFrame, row: str = "row_no", ids: str = "input_ids", capa
     ranked = spread.withColumn("_own", F.row_number().over(within) - 1).join(offsets, ["length", "_bucket"])
     ranked = ranked.withColumn("_rank", F.col("_own") + F.col("_before"))
     table = spark.createDataFrame(rules, "length int, _first long, _count long, _container long, _each int, _slot int")
-    # the rules: some rows a length, bounded by the capacity
-    hit = ranked.join(F.broadcast(table), "length").filter((F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_first") + F.col("_count")))
+    # a row a length with its rules in order of their first ranks: bounded by the capacity, and a piece stays one row
+    rule = F.struct("_first", "_count", "_container", "_each", "_slot")
+    table = table.groupBy("length").agg(F.array_sort(F.collect_list(rule)).alias("_rules"))
+    at = F.size(F.filter(F.transform("_rules", lambda r: r["_first"]), lambda first: first <= F.col("_rank"))) - 1
+    hit = ranked.join(F.broadcast(table), "length").withColumn("_rule", F.get("_rules", at)).drop("_rules").select("*", "_rule.*")
+    hit = hit.filter(F.col("_rank") < F.col("_first") + F.col("_count"))
     i = F.col("_rank") - F.col("_first")
     slot = F.col("_slot").cast("long") * capacity + i % F.col("_each")
     placed = hit.select("row_no", "piece_no", "start", "length", (F.col("_container") + F.floor(i / F.col("_each"))).alias("container"), slot.alias("slot"))

@@ -95,6 +95,13 @@ def p3_report(s, d):
     return _sample(s, d)[1]
 
 
+def p3_cells(s, d):
+    """Of the report what doesn't depend on the draw."""
+    r = _sample(s, d)[1]
+    has = lambda why: F.coalesce(F.array_contains(F.split("reason", ","), why), F.lit(False))
+    return r.select("plan_no", "cell_no", "n_rows", F.round("target_rows", 6).alias("target_rows"), has("few_rows").alias("few"), has("below_floor").alias("below"))
+
+
 def _packed(s, d):
     return packing.pack(table(s, d, "expressive", "row_no", "input_ids"))
 
@@ -111,6 +118,11 @@ def p4_fill(s, d):
     return packing.fill(_packed(s, d))
 
 
+def p4_covered(s, d):
+    """What the containers hold of each sequence: all of it, in as many pieces as needed."""
+    return _packed(s, d).groupBy("row_no").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("length").alias("n_ids"), F.count_distinct("container").alias("n_containers"))
+
+
 def p4_containers(s, d):
     return packing.containers(table(s, d, "expressive", "row_no", "input_ids"), written(_packed(s, d), "packed"))
 
@@ -138,6 +150,11 @@ def p6_collapsed(s, d):
     return dedup.collapsed(table(s, d, "manifest"))
 
 
+def p6_copies(s, d):
+    """The kept rows and how many copies each had."""
+    return dedup.collapsed(table(s, d, "manifest")).select("row_no", "n_copies")
+
+
 def _leaks(s, d, near=True):
     return contamination.leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_item", "item_id", "text"), near=near)
 
@@ -190,8 +207,8 @@ def p9_clean(s, d):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p4_found, p4_places, p4_fill, p4_containers,
-        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
+        p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p3_cells, p4_found, p4_places, p4_covered, p4_fill, p4_containers,
+        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
 
@@ -222,14 +239,15 @@ def oracle_sql() -> dict[str, str]:
                       coalesce(nullif(lower(trim(delivery, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))), ''), 'neutral') AS delivery,
                       n.code AS language
                FROM grpo_example LEFT JOIN {_NAMES} n ON n.name = regexp_extract(lower(trim(language, ' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288))), '^([a-z]+)([-_][a-z0-9]+)*$', 1))
-    SELECT t.plan_no, t.cell_no FROM sample_target t LEFT JOIN g ON (t.emotion IS NULL OR t.emotion = g.emotion) AND (t.delivery IS NULL OR t.delivery = g.delivery) AND (t.language IS NULL OR t.language = g.language)
-    GROUP BY ALL HAVING count(g.emotion) * 1000000 < any_value(t.target_bp) * any_value(t.sample_pct) * (SELECT count(*) FROM grpo_example) OR count(g.emotion) < any_value(t.min_rows)""".replace("GROUP BY ALL", "GROUP BY t.plan_no, t.cell_no")
+    SELECT t.plan_no, t.cell_no, count(g.emotion) AS n_rows, round(any_value(t.target_bp) * any_value(t.sample_pct) * (SELECT count(*) FROM grpo_example) / 1000000, 6) AS target_rows,
+           count(g.emotion) * 1000000 < any_value(t.target_bp) * any_value(t.sample_pct) * (SELECT count(*) FROM grpo_example) AS few, count(g.emotion) < any_value(t.min_rows) AS below
+    FROM sample_target t LEFT JOIN g ON (t.emotion IS NULL OR t.emotion = g.emotion) AND (t.delivery IS NULL OR t.delivery = g.delivery) AND (t.language IS NULL OR t.language = g.language)
+    GROUP BY t.plan_no, t.cell_no"""
     p6 = f"""
     WITH x AS (SELECT row_no, {_bare("speaker")} AS s, {_bare("text")} AS t, extra FROM manifest),
     v AS (SELECT DISTINCT extra FROM x WHERE extra IS NOT NULL),
-    f AS (SELECT v.extra, string_agg(j.fullkey || '=' || j.type || '=' || CASE WHEN j.type IN ('OBJECT', 'ARRAY') THEN '' ELSE coalesce(j.atom::VARCHAR, 'null') END, chr(1) ORDER BY j.fullkey) AS form FROM v, json_tree(v.extra::JSON) j GROUP BY v.extra),
-    k AS (SELECT row_no, min(row_no) OVER (PARTITION BY s, t, f.form) AS keep_no FROM x LEFT JOIN f ON f.extra = x.extra WHERE s <> '' AND t <> '')
-    SELECT keep_no, row_no AS copy_no FROM k WHERE keep_no <> row_no"""
+    f AS (SELECT v.extra, string_agg(j.fullkey || '=' || CASE WHEN j.type IN ('BIGINT', 'UBIGINT', 'HUGEINT', 'DOUBLE') THEN 'NUMBER=' || (j.atom::VARCHAR)::DOUBLE ELSE j.type || '=' || CASE WHEN j.type IN ('OBJECT', 'ARRAY') THEN '' ELSE coalesce(j.atom::VARCHAR, 'null') END END, chr(1) ORDER BY j.fullkey) AS form FROM v, json_tree(v.extra::JSON) j GROUP BY v.extra),
+    k AS (SELECT row_no, min(row_no) OVER (PARTITION BY s, t, f.form) AS keep_no FROM x LEFT JOIN f ON f.extra = x.extra WHERE s <> '' AND t <> '')"""
     tags = r"regexp_replace(text, '<nar_(control|event)\b[^>]*>', '', 'gi')"
     p7 = f"""
     WITH i AS (SELECT item_id, {_bare("text")} AS b FROM eval_item), d AS (SELECT doc_id, {_bare(tags)} AS b FROM documents),
@@ -240,11 +258,14 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": p1_cases,
         "p1_closed": p1_groups + " SELECT e AS example_id, group_id FROM g",
         "p1_together": p1 + " SELECT upper(md5(key)) AS key, count(*) AS n_examples, true AS together FROM (SELECT unnest([coalesce('s' || s, ''), coalesce('t' || t, '')]) AS key FROM k) WHERE key <> '' GROUP BY 1",
-        "p3_found": p3,
+        "p3_found": f"SELECT plan_no, cell_no FROM ({p3}) WHERE few OR below",
+        "p3_cells": p3,
+        "p4_covered": "SELECT row_no, CAST(greatest(1, ceil(coalesce(len(input_ids), 0) / 8192)) AS BIGINT) AS n_pieces, coalesce(len(input_ids), 0) AS n_ids, CAST(ceil(coalesce(len(input_ids), 0) / 8192) AS BIGINT) AS n_containers FROM expressive",
         "p4_found": "SELECT row_no FROM expressive WHERE len(input_ids) > 8192",
         "p5_found": r"SELECT request_id FROM synthesis_request WHERE regexp_matches(text, '[^\p{P}\p{Z}\s\x0B\x1C-\x1F\x{85}]{261}')",
         "p5_rebuilt": "SELECT request_id, md5(text) AS digest, 0 AS too_long FROM synthesis_request WHERE text <> ''",
-        "p6_found": p6,
+        "p6_found": p6 + " SELECT keep_no, row_no AS copy_no FROM k WHERE keep_no <> row_no",
+        "p6_copies": p6 + " SELECT keep_no AS row_no, count(*) AS n_copies FROM k GROUP BY keep_no UNION ALL SELECT row_no, 1 FROM manifest WHERE row_no NOT IN (SELECT row_no FROM k)",
         "p7_found": p7,
         "p8_found": """SELECT w.source FROM source_weight w LEFT JOIN (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source) d USING (source)
                        WHERE coalesce(s, 0) * max_repeat * 10000 < target_bp * (SELECT sum(n_chars) FROM documents)""",
