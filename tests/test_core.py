@@ -253,8 +253,8 @@ def test_length_batches(spark):
     assert [b for _, b in plain] == [0, 0, 0, 1, 1, 1, 2, 2]
     assert batching.batch_stats(batching.length_batches(df.limit(0), "position", "n", 3), "n").first().efficiency == 1
     files_ = spark.createDataFrame([("a", 3), ("b", 4), ("c", 7)], "o string, s long")
-    assert [r.batch_no for r in batching.upload_batches(files_, "o", "s", 2, 100).orderBy("o").collect()] == [0, 0, 1]
-    assert [r.batch_no for r in batching.upload_batches(files_, "o", "s", 9, 8).orderBy("o").collect()] == [0, 0, 1]
+    assert [r.batch_no for r in batching.upload_batches(files_.withColumn("g", F.lit(1)), "o", "s", 2, 100, "g").orderBy("o").collect()] == [0, 0, 1]
+    assert [r.batch_no for r in batching.upload_batches(files_.withColumn("g", F.lit(1)), "o", "s", 9, 8, "g").orderBy("o").collect()] == [0, 0, 1]
 
 
 def test_datasets(spark):
@@ -412,6 +412,28 @@ def test_settings():
         settings.Encode(most_seconds=0.1)
 
 
+def test_preferences():
+    hooks = {"asr": "a", "speaker": "s", "emotion": "e", "event": "v"}
+    good = settings.Preferences.of({"weights": {"intelligibility": 1, "emotion": 0.5}, "hooks": hooks, "columns": ("input_ids", "target_text", "emotion")})
+    assert good.mode == "tts_tokens"
+    for bad in (
+        {}, {"hooks": hooks, "mode": "x"}, {"hooks": hooks, "columns": ()}, {"hooks": hooks, "weights": {"beauty": 1}}, {"hooks": hooks, "weights": {"format": -1}}, {"hooks": hooks, "weights": {"format": 0}},
+        {"hooks": hooks, "weights": {"emotion": 1}}, {"hooks": {**hooks, "emotion": ""}, "weights": {"emotion": 1}, "columns": ("input_ids", "emotion")}, {"hooks": hooks, "weights": {"speaker_drift": 1}}, {"hooks": hooks, "metric": "ter"},
+        {"hooks": hooks, "on_invalid": "skip"}, {"hooks": hooks, "nll_reduction": "max"}, {"hooks": hooks, "duration_mode": "x"}, {"hooks": hooks, "speed_direction": "up"}, {"hooks": hooks, "temperature": 0}, {"hooks": hooks, "loader_workers": -1},
+        {"hooks": hooks, "most_prompt": 0}, {"hooks": hooks, "most_rows": 1.5}, {"hooks": hooks, "error_terms": ()}, {"hooks": hooks, "nothing": 1}, {"hooks": hooks, "weights": {"format": float("nan")}},
+    ):
+        with pytest.raises(settings.Invalid):
+            settings.Preferences.of(bad)
+    assert settings.accumulated(8, 4, 2, 4, 32) == 4
+    for bad in ((3, 4, 2, 4, 32), (8, 4, 3, 4, 32), (0, 4, 2, 4, 32)):
+        with pytest.raises(settings.Invalid):
+            settings.accumulated(*bad)
+    stack = {"a": {"extends": "b", "x": {"y": 1}}, "b": {"x": {"y": 0, "z": 2}, "w": 3}, "c": {"extends": "c"}}
+    assert settings.extended("a", stack.get) == {"x": {"y": 1, "z": 2}, "w": 3}
+    with pytest.raises(settings.Invalid):
+        settings.extended("c", stack.get)
+
+
 def test_hooks(spark):
     import pandas as pd
 

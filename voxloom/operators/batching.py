@@ -63,14 +63,14 @@ def left_padded(rows: DataFrame, batch: list[str], ids: str, pad: int) -> DataFr
     return rows.join(most, batch).withColumn(ids, padded(F.col(ids), F.col("_most"), pad, left=True)).drop("_most")
 
 
-def upload_batches(ledger: DataFrame, order: str, size: str, most_files: int, most_bytes: int, group: str | None = None) -> DataFrame:
+def upload_batches(ledger: DataFrame, order: str, size: str, most_files: int, most_bytes: int, group: str) -> DataFrame:
     """(order, size, batch_no) of files in a ledger: a batch is closed when it has
     ``most_files`` files or ``most_bytes`` bytes, and before a file that would pass the
-    bytes. The fold is sequential in each ``group`` (a writer's own files, bounded by
-    what it staged); without a group the ledger itself must be small."""
-    keys = [group] if group else []
+    bytes. The fold is sequential in each ``group``: a writer's own files, bounded by
+    what it staged."""
+    keys = [group]
     src = ledger.select(*keys, F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")).alias("x"))
-    grouped = (src.groupBy(*keys) if keys else src.groupBy(F.lit(0).alias("_g"))).agg(F.array_sort(F.collect_list("x")).alias("items"))
+    grouped = src.groupBy(*keys).agg(F.array_sort(F.collect_list("x")).alias("items"))
     start = F.struct(F.lit(-1).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("b"), F.array().cast("array<int>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:

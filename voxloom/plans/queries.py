@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from voxloom.functions import frontend, rewards, signal, text, tokens, vectors
 from voxloom.functions.forms import language_code
-from voxloom.operators import audit, batching, datasets, measures, ranking, speech
+from voxloom.operators import audit, batching, datasets, measures, ranking, speech, verbs
+from voxloom.plans import protocols
 from voxloom.plans.scale import shared_dir, written
+from voxloom.plans.settings import Encode
 from voxloom.sources import files
 from voxloom.sources.tables import table
 from voxloom.streaming import ingest
@@ -997,6 +999,54 @@ def f1_first_rows(s, d):
     return datasets.taken(table(s, d, "synthesis_request", "request_id", "id", "text"), "request_id", 100)
 
 
+def _tone_codes(x):
+    """Eight codes of a clip: whether its first samples are above zero."""
+    import pandas as pd
+
+    return pd.DataFrame({"codes": [[[int(w[t * 4 + c] > 0) for t in range(2)] for c in range(4)] for w in x["samples"]]})
+
+
+@query("""SELECT vec_id, '1003,115,97,105,100,2,1004,1005,1001,' || array_to_string(list_transform(range(0, 8), lambda i: 1010 + (i % 4) * 16 + CASE WHEN embedding[i + 1]::DOUBLE * 32767 > 0.5 THEN 1 ELSE 0 END), ',') || ',1002' AS ids
+          FROM embeddings WHERE len(embedding) >= 32""")
+def r5_preprocessed(s, d):
+    """Vectors as clips through the whole run: decode, batch, encode, pack, write, read."""
+    e = table(s, d, "embeddings", F.col("vec_id").cast("long").alias("position"), F.struct(files.encoded_wav(F.col("embedding"), F.lit(160)).alias("bytes"), F.lit("x.wav").alias("path")).alias("audio"), F.lit("said").alias("text"))
+    hook = protocols.Hook("codes", ("samples",), "codes array<array<int>>", _tone_codes)
+    made = verbs.preprocess(e, SMALL, hook, settings=Encode(least_seconds=0.2), rate=160)
+    return made.sequences.select(F.col("position").alias("vec_id"), F.array_join(F.col("input_ids").cast("array<string>"), ",").alias("ids"))
+
+
+def _tones(x):
+    """A tone a request whose length depends on text and candidate."""
+    import numpy as np
+    import pandas as pd
+
+    seconds = [0.5 + len(t) % 7 / 4 + c / 2 for t, c in zip(x["model_text"], x["candidate"])]
+    return pd.DataFrame({"samples": [(0.3 * np.sin(2 * np.pi * 110 * np.arange(int(n * 400)) / 400)).astype(np.float32) for n in seconds]})
+
+
+def _asked(s, d):
+    asked = verbs.requests(table(s, d, "synthesis_request"))
+    return asked.join(table(s, d, "synthesis_request", "request_id", "target_duration_seconds"), "request_id")
+
+
+@query("SELECT request_id, text IS NOT NULL AND length(trim(text)) > 0 AND length(trim(coalesce(reference_text, ''))) > 0 AND length(trim(coalesce(reference_audio, ''))) > 0 AS made FROM synthesis_request")
+def r6_inferred(s, d):
+    """Requests through the whole run around a hook that makes tones: those that are ok have a winner."""
+    gate = ranking.Gate(require_asr=False, minimum_technical_quality=0.0, maximum_repetition_similarity=1.0)
+    made = verbs.infer(_asked(s, d), protocols.Hook("tones", ("model_text", "candidate"), "samples array<float>", _tones), None, gate, 2, 4, 400)
+    return made.winners.select("request_id", F.col("candidate").isNotNull().alias("made"))
+
+
+@query("SELECT o_orderkey, CAST((o_orderkey % 40 + 30) * 3 AS INT) AS n, round(o_orderkey % 7 / 7, 2) AS middle FROM orders")
+def j14_resampled(s, d):
+    """Constant signals at three times their rate: the level in the middle stays."""
+    k, v = (F.col("o_orderkey") % 40 + 30).cast("int"), (F.col("o_orderkey") % 7) / 7
+    o = table(s, d, "orders", "o_orderkey").select("o_orderkey", F.array_repeat(v.cast("float"), k).alias("x"))
+    o = o.select("o_orderkey", signal.resampled(F.col("x"), F.lit(8000), 24000).alias("y"))
+    return o.select("o_orderkey", F.size("y").alias("n"), F.round(F.get("y", F.floor(F.size("y") / 2).cast("int")).cast("double"), 2).alias("middle"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in QUERIES.items()}
 

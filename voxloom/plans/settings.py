@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
 
 
 class Invalid(ValueError):
@@ -104,3 +104,95 @@ class Scenario:
     @property
     def effective_batch(self) -> int:
         return self.processes * self.per_device * self.accumulation
+
+
+#: Components of a reward, modes of a dataset with the columns that each needs, and choices.
+COMPONENTS = ("intelligibility", "speaker", "speaker_drift", "emotion", "event", "naturalness", "prosody", "duration", "speed", "format")
+MODES = {"tts_tokens": ("input_ids",), "text": ("text",), "prompt_ids": ("prompt_ids",), "voice_clone_tokens": ("input_ids", "reference_text", "reference_audio")}
+CHOICES = {"on_invalid": ("error", "drop"), "metric": ("cer", "wer", "auto"), "nll_reduction": ("sum", "mean"), "duration_mode": ("binary", "smooth_log"), "speed_direction": ("fast", "slow")}
+#: What a component needs to have a weight: the hooks that compute it and the columns it compares with.
+NEEDS = {"intelligibility": (("asr",), ("target_text",)), "speaker": (("speaker",), ()), "speaker_drift": (("speaker", "speaker_drift"), ()), "emotion": (("emotion",), ("emotion",)), "event": (("event",), ("events",))}
+
+
+@dataclass(frozen=True)
+class Preferences:
+    """Dataset and rewards of a preference-training run. ``columns`` are the logical columns
+    that are mapped, ``hooks`` the models at hand by name (an empty name counts as none)."""
+
+    mode: str = "tts_tokens"
+    columns: tuple[str, ...] = ("input_ids", "target_text")
+    weights: Mapping[str, float] = field(default_factory=lambda: {"intelligibility": 1.0})
+    hooks: Mapping[str, str] = field(default_factory=dict)
+    on_invalid: str = "error"
+    metric: str = "cer"
+    nll_reduction: str = "sum"
+    duration_mode: str = "binary"
+    speed_direction: str = "fast"
+    error_terms: tuple[str, ...] = ("error_rate",)
+    temperature: float = 1.0
+    loader_workers: int | None = None
+    most_prompt: int | None = None
+    most_rows: int | None = None
+
+    def __post_init__(self) -> None:
+        for name, known in CHOICES.items():
+            if getattr(self, name) not in known:
+                raise Invalid(f"{name} must be one of {', '.join(known)}")
+        if self.mode not in MODES:
+            raise Invalid(f"unknown mode {self.mode}")
+        if lacking := [c for c in MODES[self.mode] if c not in self.columns]:
+            raise Invalid(f"{self.mode} needs columns: {', '.join(lacking)}")
+        if unknown := sorted(set(self.weights) - set(COMPONENTS)):
+            raise Invalid("unknown rewards: " + ", ".join(unknown))
+        own = {k: _number(v, f"the weight of {k}", 0) for k, v in self.weights.items()}
+        if not any(own.values()):
+            raise Invalid("one weight must be positive")
+        for k in (k for k, v in own.items() if v and k in NEEDS):
+            hooks, columns = NEEDS[k]
+            if lacking := [h for h in hooks if not self.hooks.get(h)] + [c for c in columns if c not in self.columns]:
+                raise Invalid(f"{k} needs {', '.join(lacking)}")
+        if own.get("intelligibility") and not set(self.error_terms) & {"error_rate", "nll"}:
+            raise Invalid("intelligibility needs an error rate or a likelihood")
+        if not _number(self.temperature, "temperature", 0):
+            raise Invalid("temperature must be positive")
+        for name, least in (("loader_workers", 0), ("most_prompt", 1), ("most_rows", 1)):
+            if getattr(self, name) is not None:
+                _number(getattr(self, name), name, least, whole=True)
+
+    @classmethod
+    def of(cls, values: Mapping) -> Preferences:
+        if unknown := sorted(set(values) - {f.name for f in fields(cls)}):
+            raise Invalid("unknown settings: " + ", ".join(unknown))
+        return cls(**dict(values))
+
+
+def accumulated(generations: int, processes: int, per_device: int, accumulation: int, batch: int) -> int:
+    """Microbatches of a generation batch; it must hold whole groups of generations and
+    whole microbatches of all processes."""
+    for name, v in (("generations", generations), ("processes", processes), ("per_device", per_device), ("accumulation", accumulation), ("batch", batch)):
+        _number(v, name, 1, whole=True)
+    if batch % generations:
+        raise Invalid("a generation batch must hold whole groups")
+    if batch % (processes * per_device):
+        raise Invalid("a generation batch must hold whole microbatches")
+    return batch // (processes * per_device)
+
+
+def extended(path: str, read) -> dict:
+    """A configuration over the one that its ``extends`` names, and so on; a circle is an
+    error. ``read`` gives the mapping at a path."""
+    from voxloom.sources.files import merged
+
+    chain: list[dict] = []
+    seen: list[str] = []
+    while path:
+        if path in seen:
+            raise Invalid("configurations extend each other: " + ", ".join(seen))
+        seen.append(path)
+        own = dict(read(path))
+        path = own.pop("extends", None)
+        chain.append(own)
+    out: dict = {}
+    for own in reversed(chain):
+        out = merged(out, own)
+    return out
