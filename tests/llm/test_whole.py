@@ -77,6 +77,46 @@ def test_every_near_window_is_found():
     assert sum(v < 1 for v in want.values()) > 10
 
 
+def test_large_suites_by_joins(spark):
+    r = random.Random(9)
+    items = [(i, passage(i % 25, 25)) for i in range(40)] + [(90, None), (91, "short"), (92, "a" * 300)]
+    docs = [(i, passage(200 + i, 30) + " " + items[r.randrange(40)][1][(k := r.randrange(20)) : k + r.choice([40, 66, 75, 120])].upper() + " " + passage(300 + i, 10)) for i in range(60)] + [(99, None), (98, "a" * 90), (97, "")]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    small = {tuple(x) for x in contamination.found(contamination.leaks(d, i, near=False)).collect()}
+    large = {tuple(x) for x in contamination.found(contamination.leaks(d, i, near=False, block_chars=500)).collect()}
+    assert small == large and len(small) > 30 and (98, 92) in small
+    keep = contamination.kept_characters()
+    plain = lambda t: contamination.bare_codes([t], keep)[:-1].tobytes().decode("utf-32-le")
+    want = {(a, b) for a, x in docs for b, y in items if x and y and any(plain(y)[k : k + 60] in plain(x) for k in range(len(plain(y)) - 59))}
+    assert small == want
+
+
+def test_near_fingerprints_by_blocks(spark):
+    r = random.Random(4)
+    a = {r.getrandbits(64) for _ in range(60)}
+    b = {x ^ sum(1 << k for k in r.sample(range(64), r.randrange(5))) for x in a}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    table_ = lambda s_: spark.createDataFrame([(signed(x),) for x in s_], "print long")
+    for radius in (0, 1, 3):
+        got = {tuple(x) for x in contamination.near_classes(table_(a), table_(b), radius).collect()}
+        assert got == {(signed(x), signed(y)) for x in a for y in b if (x ^ y).bit_count() <= radius}
+
+
+def test_edits_every_forty_characters_are_near_leaks():
+    r = random.Random(11)
+    items = [(i, passage(500 + i, 40)) for i in range(60)]
+    keep = contamination.kept_characters()
+    ix = contamination.ItemIndex([i for i, _ in items], [t for _, t in items], keep)
+    texts = []
+    for _, t in items:
+        part = [c for c in t if c != " "]
+        for at in range(r.randrange(40), len(part), 40):
+            part[at] = "q" if part[at] != "q" else "z"
+        texts.append(passage(900, 5) + "".join(part))
+    got = {(t, o) for t, o, _, _ in ix.leaks(contamination.bare_codes(texts, keep))}
+    assert sum((i, i) in got for i in range(60)) >= 54
+
+
 # 9: residue
 
 PROSE = "Anna walks along the river and nobody speaks, while the boats drift slowly past the old mill. The evening is cold and the lamps burn low. "

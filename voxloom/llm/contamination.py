@@ -10,8 +10,11 @@ in more bits; they are found by their rarest shingles, again without a miss. Wei
 shingle similarity verifies candidates, then the common run is measured exactly.
 
 Windows have the size of the shortest passage to be reported, not of a whole item:
-an item may leak in part. The items are the query set; they are held by each task in
-blocks of a bounded number of characters, against all documents.
+an item may leak in part. The items are the query set. As long as they fit one block of a
+bounded number of characters, each task holds them and documents are read once, without
+a shuffle. Of more items exact leaks are found by joins: windows of documents and items
+are written with their fingerprints, equal fingerprints collapsed to classes, the classes
+joined by the blocks of their bits, and the survivors verified text by text.
 """
 
 from __future__ import annotations
@@ -26,11 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxloom.plans.scale import free, skew_join, written
+
 RUN = 60
 _STEP, _BLOCKS, _GRAM = 6, 8, 5
 _GRAMS = _STEP * _BLOCKS
 WINDOW = _GRAMS + _GRAM - 1  # 52 characters: with a step of 6 at most 57 are needed
-#: Characters of items that a task holds at once; more items make more passes.
+#: Characters of items that a task holds at once; of more, exact leaks are found by joins, and
+#: near ones in as many passes as there are blocks.
 BLOCK_CHARS = 4_000_000
 #: Ends within its text: texts are joined by 0.
 _TAG = re.compile(r"<nar_(?:control|event)\b[^>\0]*>", re.IGNORECASE)
@@ -312,7 +318,90 @@ class ItemIndex:
             yield t, int(self.owners[o]), e, v
 
 
-def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int = 1, near: bool = True) -> DataFrame:
+def _bit_blocks(radius: int) -> list[tuple[int, int]]:
+    """(shift, bits) of ``radius + 1`` blocks of 64 bits: fingerprints within the radius agree in one."""
+    width = 64 // (radius + 1)
+    return [(b * width, width if b < radius else 64 - b * width) for b in range(radius + 1)]
+
+
+def fingerprints(texts: DataFrame, key: str, step: int = _STEP) -> DataFrame:
+    """(key, print): fingerprints of the windows of each text at every ``step``-th place (a
+    divisor of six), each once a batch. Null and short texts have none."""
+    bits = np.packbits(kept_characters())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(bits, count=0x110000).astype(bool)
+        for x in batches:
+            ids, codes = x.column(0).to_numpy(zero_copy_only=False), bare_codes(x.column(1).to_pylist(), keep)
+            ends = np.flatnonzero(codes == 0)
+            grams, out = gram_hashes(codes), []
+            for phase in range(0, _STEP, step):
+                h = simhashes(grams[phase:])
+                at = phase + _STEP * np.arange(len(h), dtype=np.int64)
+                text = np.searchsorted(ends, at)
+                whole = at + WINDOW <= ends[np.minimum(text, len(ends) - 1)]
+                out.append(np.stack([text[whole].astype(np.int64), h[whole].view(np.int64)], axis=1))
+            made = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[made[:, 0]], pa.int64()), pa.array(made[:, 1], pa.int64())], [key, "print"])
+
+    return texts.select(F.col(key).cast("long").alias(key), "text").filter("text is not null").mapInArrow(run, f"{key} long, print long")
+
+
+def near_classes(left: DataFrame, right: DataFrame, radius: int) -> DataFrame:
+    """(left, right): all pairs of different fingerprints (one column each, each value
+    once) within ``radius`` bits, by an equi-join for each block of bits."""
+    blocks = F.array(*[F.struct(F.lit(b).alias("b"), F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << bits) - 1 if bits < 64 else -1)).alias("k")) for b, (at, bits) in enumerate(_bit_blocks(radius))])
+    keyed = lambda d, name: d.select(F.col("print").alias(name), F.explode(blocks).alias("x")).select(name, "x.*")
+    pairs = skew_join(written(keyed(left, "left"), "left_blocks"), written(keyed(right, "right"), "right_blocks"), ["b", "k"], "left", "inner")
+    return pairs.filter(F.bit_count(F.col("left").bitwiseXOR(F.col("right"))) <= radius).select("left", "right").distinct()
+
+
+def common_run(a: str, b: str, run: int = RUN) -> bool:
+    """Whether two bare texts have ``run`` characters in a row in common: each such run
+    holds a piece of half its length that begins at a multiple of that half in ``b``."""
+    half = run // 2
+    for p in range(0, len(b) - half + 1, half):
+        seed, at = b[p : p + half], a.find(b[p : p + half])
+        while at >= 0:
+            back = ahead = 0
+            while back < run - half and at > back and p > back and a[at - back - 1] == b[p - back - 1]:
+                back += 1
+            while back + half + ahead < run and at + half + ahead < len(a) and p + half + ahead < len(b) and a[at + half + ahead] == b[p + half + ahead]:
+                ahead += 1
+            if back + half + ahead >= run:
+                return True
+            at = a.find(seed, at + 1)
+    return False
+
+
+def exact_leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int = 1) -> DataFrame:
+    """(doc_id, item_id) of exact leaks, for suites of any size: documents are read for
+    their fingerprints and once more for the survivors, whatever the number of items."""
+    held = written(fingerprints(documents, "doc_id"), "document_prints")
+    asked = written(fingerprints(items, "item_id", 1), "item_prints")
+    classes = written(near_classes(held.select("print").distinct(), asked.select("print").distinct(), radius), "classes")
+    sources = skew_join(held, classes.select(F.col("left").alias("print"), "right"), ["print"], "doc_id", "inner").select("doc_id", F.col("right").alias("print")).distinct()
+    pairs = skew_join(written(sources, "sources"), asked, ["print"], "doc_id", "inner").select("doc_id", "item_id").distinct()
+    pairs = written(pairs, "pairs")
+    free(held, asked, classes)
+    own = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("_item")).filter("_item is not null")
+    texts = skew_join(pairs, own, ["item_id"], "doc_id", "inner")
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_doc"))
+    both = skew_join(written(texts, "asked_texts"), docs.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi"), ["doc_id"], "item_id", "inner")
+    bits = np.packbits(kept_characters())
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(bits, count=0x110000).astype(bool)
+        bare = lambda t: bare_codes([t], keep)[:-1].tobytes().decode("utf-32-le", "surrogatepass")
+        for x in batches:
+            d, i, a, b = (x.column(k).to_pylist() for k in range(4))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in ((d, pa.int64()), (i, pa.int64()), ([common_run(bare(s), bare(t), run) for s, t in zip(a, b)], pa.bool_()))], ["doc_id", "item_id", "exact"])
+
+    checked = both.select("doc_id", "item_id", "_doc", "_item").mapInArrow(verify, "doc_id long, item_id long, exact boolean")
+    return checked.filter("exact").select("doc_id", "item_id").distinct()
+
+
+def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int = 1, near: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, exact, similarity): documents that hold a passage of an item.
 
     exact: ``run`` (60 or more) consecutive characters of the bare item occur in the
@@ -326,7 +415,9 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN, radius: int =
     spark = documents.sparkSession
     listed = items.select("item_id", "text").filter("item_id is not null and text is not null")
     total = listed.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    passes = max(1, -(-total // BLOCK_CHARS))
+    passes = max(1, -(-total // block_chars))
+    if passes > 1 and not near:
+        return exact_leaks(documents, listed, run, radius).select("*", F.lit(True).alias("exact"), F.lit(1.0).alias("similarity"))
     keep = np.packbits(kept_characters())
     out = None
     for k in range(passes):

@@ -167,6 +167,17 @@ def p7_found(s, d):
     return contamination.found(_leaks(s, d, near=False))
 
 
+def p7_exact(s, d):
+    """Exact rows of the search that looks for near leaks too."""
+    return contamination.found(_leaks(s, d))
+
+
+def p7_by_joins(s, d):
+    """As p7_found, by the joins that a suite of more than one block takes."""
+    leaked = contamination.leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_item", "item_id", "text"), near=False, block_chars=1)
+    return contamination.found(leaked)
+
+
 def _mix(s, d, size, schedules=None):
     return mixture.mix(table(s, d, "documents", "doc_id", "source", "text", "n_chars"), table(s, d, "source_weight"), size, schedules)
 
@@ -208,7 +219,7 @@ def p9_clean(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p3_cells, p4_found, p4_places, p4_covered, p4_fill, p4_containers,
-        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
+        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p7_exact, p7_by_joins, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
 
@@ -267,6 +278,8 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": p6 + " SELECT keep_no, row_no AS copy_no FROM k WHERE keep_no <> row_no",
         "p6_copies": p6 + " SELECT keep_no AS row_no, count(*) AS n_copies FROM k GROUP BY keep_no UNION ALL SELECT row_no, 1 FROM manifest WHERE row_no NOT IN (SELECT row_no FROM k)",
         "p7_found": p7,
+        "p7_exact": p7,
+        "p7_by_joins": p7,
         "p8_found": """SELECT w.source FROM source_weight w LEFT JOIN (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source) d USING (source)
                        WHERE coalesce(s, 0) * max_repeat * 10000 < target_bp * (SELECT sum(n_chars) FROM documents)""",
     }
