@@ -155,10 +155,13 @@ def running(df: DataFrame, keys: Sequence[str], place: str, ties: Sequence[str],
     return back.withColumn(out, F.col("_vx_before") + F.col("_vx_own")).drop("_vx_bucket", "_vx_own", "_vx_before")
 
 
-def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, how: str = "left") -> DataFrame:
+def skew_join(big: DataFrame, small: DataFrame, on: Sequence[str], spread: str, how: str = "left", most: int | None = None) -> DataFrame:
     """:func:`salted_join` that first counts the keys of ``big`` (partial sums
     before the shuffle). ``big`` should be a table or cheap to compute twice;
-    the pass that counts reads the key columns only."""
+    the pass that counts reads the key columns only. ``most``: a bound of the rows of
+    ``big`` where one is known, so that small ones need not be counted."""
+    if most is not None and most <= 10_000:
+        return big.join(small, list(on), how)
     counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 10_000)
     total = big.count()
     if total <= 10_000:
