@@ -119,7 +119,7 @@ def test_counts_of_splits(spark):
     assert {r.split: r.n for r in store3.totals.collect()} == want and store3.members.select("example_id").distinct().count() == 403
 
 
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed", [4])
 def test_table_on_disk_over_deliveries(spark, tmp_path, seed):
     r = random.Random(seed)
     rows = random_examples(90, seed, 40, 40)

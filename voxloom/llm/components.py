@@ -53,25 +53,27 @@ def roots(edges: DataFrame) -> DataFrame:
     of rounds grows with the logarithm of the longest path. Each round is written
     to the shared folder; no node or edge is collected."""
     levels: list[DataFrame] = []
+    sizes: list[int] = []
     live = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while not live.isEmpty():
+    while n := live.count():
         both = live.union(live.select("b", "a"))
         near = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "near")
-        far = skew_join(both, near, ["a"], "b", "inner").select(F.col("b").alias("v"), F.col("m").alias("p"))
+        far = skew_join(both, near, ["a"], "b", "inner", 2 * n).select(F.col("b").alias("v"), F.col("m").alias("p"))
         point = written(far.union(near).groupBy("v").agg(F.min("p").alias("p")), "pointers")
         levels.append(point)
+        sizes.append(2 * n)  # a bound of the nodes
         steps = live.union(point.filter("v <> p").select(F.col("v").alias("a"), F.col("p").alias("b")))
-        one = skew_join(steps, point.select(F.col("v").alias("a"), F.col("p").alias("pa")), ["a"], "b", "inner").select("b", "pa")
+        one = skew_join(steps, point.select(F.col("v").alias("a"), F.col("p").alias("pa")), ["a"], "b", "inner", 3 * n).select("b", "pa")
         half = written(one, "half")
-        two = skew_join(half, point.select(F.col("v").alias("b"), F.col("p").alias("pb")), ["b"], "pa", "inner")
+        two = skew_join(half, point.select(F.col("v").alias("b"), F.col("p").alias("pb")), ["b"], "pa", "inner", 3 * n)
         ends = two.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"))
         used, live = live, written(ends.distinct(), "edges")
         free(used, near, half)
     if not levels:
         return edges.sparkSession.createDataFrame([], "node long, root long")
     out = levels[-1].select(F.col("v").alias("node"), F.col("p").alias("root"))
-    for point in reversed(levels[:-1]):
-        up = skew_join(point, out.select(F.col("node").alias("p"), "root"), ["p"], "v", "left")
+    for point, n in reversed([*zip(levels[:-1], sizes)]):
+        up = skew_join(point, out.select(F.col("node").alias("p"), "root"), ["p"], "v", "left", n)
         below, out = out, written(up.select(F.col("v").alias("node"), F.coalesce("root", "p").alias("root")), "roots")
         free(below, point)
     return out
@@ -101,8 +103,8 @@ def _speaker() -> F.Column:
     return F.when(F.col("skey").isNotNull(), F.xxhash64("skey"))
 
 
-def _tied(rows: DataFrame, prior: State | None, save: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
-    """(nodes, root, touched, again) of a delivery: nodes (key, node, part, split,
+def _tied(rows: DataFrame, n: int, prior: State | None, save: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(nodes, root, touched, again) of a delivery of ``n`` rows: nodes (key, node, part, split,
     component, group) of its keys; root (node, root); touched (group, part, split) of
     the parts it ties; again (example_id, key, speaker) of examples that came before
     under another key."""
@@ -116,9 +118,9 @@ def _tied(rows: DataFrame, prior: State | None, save: Callable[[DataFrame, str],
         nodes = own.join(prior.keys, "key", "left").select("key", F.coalesce("part", "least").alias("node"), "least", "part", "split", "component")  # a row a key on both sides
     nodes = save(nodes, "nodes")
     at = nodes.select("key", "node")
-    with_s = skew_join(pairs.filter("skey is not null and tkey is not null"), at.select(F.col("key").alias("skey"), F.col("node").alias("a")), ["skey"], "least", "inner")
+    with_s = skew_join(pairs.filter("skey is not null and tkey is not null"), at.select(F.col("key").alias("skey"), F.col("node").alias("a")), ["skey"], "least", "inner", n)
     half = save(with_s, "half")
-    edges = skew_join(half, at.select(F.col("key").alias("tkey"), F.col("node").alias("b")), ["tkey"], "least", "inner").select("a", "b")
+    edges = skew_join(half, at.select(F.col("key").alias("tkey"), F.col("node").alias("b")), ["tkey"], "least", "inner", n).select("a", "b")
     touched, again = None, None
     if prior is not None:
         # the smallest example of each group must be its id also where all keys are old
@@ -133,7 +135,7 @@ def _tied(rows: DataFrame, prior: State | None, save: Callable[[DataFrame, str],
         edges = edges.union(back.select("node", "was"))
         again = moved.select("example_id", F.col("now").alias("key"), "speaker")
     root = roots(edges)
-    grouped = save(skew_join(nodes, root, ["node"], "key", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
+    grouped = save(skew_join(nodes, root, ["node"], "key", "left", 2 * n).withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
     if prior is not None:
         old = grouped.filter("part is not null").select("group", "part", "split", "component")
         came = skew_join(back.select(F.col("node"), F.col("was").alias("part"), F.col("was_split").alias("split")), root, ["node"], "part", "left")
@@ -149,9 +151,10 @@ def components(rows: DataFrame) -> DataFrame:
     speaker a number that is equal for equal speakers, null without one. Examples
     without any key are groups of one."""
     rows = written(rows.select("example_id", "skey", "tkey"), "keys")
-    nodes, *_ = _tied(rows, None, written)
+    n = rows.count()
+    nodes, *_ = _tied(rows, n, None, written)
     first = rows.select("example_id", F.coalesce("skey", "tkey").alias("key"), _speaker().alias("speaker"))
-    joined = skew_join(first, nodes.select("key", "group"), ["key"], "example_id", "left")
+    joined = skew_join(first, nodes.select("key", "group"), ["key"], "example_id", "left", n)
     return joined.select("example_id", F.coalesce("group", "example_id").alias("group_id"), "speaker")
 
 
@@ -217,9 +220,10 @@ def assign(rows: DataFrame, prior: State | None = None, shares: Mapping[str, flo
     that comes under other keys than before ties both. Equal rows are given equal
     results. An empty delivery leaves the table as it is. Ids are below ``HELD``."""
     rows = written(rows.select("example_id", "skey", "tkey"), "keys")
-    nodes, root, touched, again = _tied(rows, prior, written)
+    n = rows.count()
+    nodes, root, touched, again = _tied(rows, n, prior, written)
     first = rows.select("example_id", F.coalesce("skey", "tkey").alias("key"), _speaker().alias("speaker"))
-    joined = skew_join(first, nodes.select("key", "group"), ["key"], "example_id", "left")
+    joined = skew_join(first, nodes.select("key", "group"), ["key"], "example_id", "left", n)
     grouped = joined.withColumn("group", F.coalesce("group", "example_id"))
     if prior is None:
         grouped = grouped.withColumns({"seen": F.lit(False), "counted": F.lit(False), "own": F.lit(None).cast("string")})
@@ -258,10 +262,10 @@ def assign(rows: DataFrame, prior: State | None = None, shares: Mapping[str, flo
     else:
         placed = placed.withColumn("component", F.col("group"))
     placed = written(placed, "placed")
-    out = skew_join(grouped.select("example_id", "group"), placed, ["group"], "example_id", "inner")
+    out = skew_join(grouped.select("example_id", "group"), placed, ["group"], "example_id", "inner", n)
     out = save(out.select("example_id", F.col("component").alias("group_id"), "split", "status"), "assigned")
     # the table: keys of this delivery, then all others, whose parts and components may have been merged
-    now = skew_join(nodes.select("key", "group", F.col("part").alias("was"), F.col("split").alias("was_split")), placed, ["group"], "key", "inner")
+    now = skew_join(nodes.select("key", "group", F.col("part").alias("was"), F.col("split").alias("was_split")), placed, ["group"], "key", "inner", 2 * n)
     held = F.col("status") == "quarantine"
     store = now.select(
         "key",
@@ -277,7 +281,7 @@ def assign(rows: DataFrame, prior: State | None = None, shares: Mapping[str, flo
         rest = skew_join(rest, closed.select(F.col("node").alias("component"), "root"), ["component"], "key", "left")
         store = store.unionByName(rest.select("key", "part", "split", F.coalesce("root", "component").alias("component")))
     keys = save(store, "keys")
-    alone = skew_join(fresh.select("example_id", "key", "speaker", "group", "seen"), placed.select("group", "split"), ["group"], "example_id", "inner").filter("not seen or split is not null")
+    alone = skew_join(fresh.select("example_id", "key", "speaker", "group", "seen"), placed.select("group", "split"), ["group"], "example_id", "inner", n).filter("not seen or split is not null")
     alone = alone.select("example_id", "key", "speaker", F.when(F.col("key").isNull(), F.col("split")).alias("split"), F.col("split").isNotNull().alias("counted"))
     if again is not None:
         alone = alone.unionByName(again.distinct().withColumns({"split": F.lit(None).cast("string"), "counted": F.lit(False)}))
