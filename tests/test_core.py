@@ -595,3 +595,10 @@ def test_wavs_are_written_and_read(spark, tmp_path):
     rows = spark.createDataFrame([(1, [0.0, 0.5, -0.5], "a/1.wav"), (2, None, "a/2.wav")], "id long, samples array<float>, path string")
     got = {r.id: r.bytes_written for r in files.write_wavs(rows, "samples", "path", str(tmp_path), 8000).collect()}
     assert got == {1: 50, 2: None} and files.decode_wav((tmp_path / "a/1.wav").read_bytes())[1] == 8000
+
+
+def test_content_digest(spark):
+    import hashlib
+
+    got = spark.createDataFrame([(bytearray(b"abc"),), (None,)], "x binary").select(text.content_digest(F.col("x")).alias("d")).collect()
+    assert [r.d for r in got] == [hashlib.blake2b(b"abc", digest_size=20).hexdigest(), None]

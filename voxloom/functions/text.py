@@ -196,3 +196,14 @@ def stable_path(key: Column, root: str = "data", prefix: int = 2, basename: Colu
 
 def known_languages() -> dict[str, str]:
     return dict(NAMES)
+
+
+def content_digest(c: Column) -> Column:
+    """BLAKE2b of 160 bits of bytes, in hex; null for null."""
+    import hashlib
+
+    @F.pandas_udf("string")
+    def run(xs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else hashlib.blake2b(bytes(x), digest_size=20).hexdigest() for x in xs])
+
+    return run(c)
