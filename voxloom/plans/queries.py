@@ -17,7 +17,7 @@ from voxloom.functions import frontend, rewards, signal, text, tokens, vectors
 from voxloom.functions.forms import language_code
 from voxloom.operators import audit, batching, datasets, measures, ranking, speech, verbs
 from voxloom.plans import protocols
-from voxloom.plans.scale import shared_dir, written
+from voxloom.plans.scale import shared_dir, skew_join, written
 from voxloom.plans.settings import Encode
 from voxloom.sources import files
 from voxloom.sources.tables import table
@@ -329,7 +329,7 @@ def d10_run_totals(s, d):
 def d12_speaker_drift(s, d):
     e = table(s, d, "embeddings")
     ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
-    out = vectors.drift(e.join(ref, "label"), "label", "vec_id", "embedding", "ref")
+    out = vectors.drift(skew_join(e, ref, ["label"], "vec_id", "inner"), "label", "vec_id", "embedding", "ref")
     return out.select("label", *[F.round(k, 6).alias(k) for k in out.columns if k != "label"])
 
 
@@ -650,7 +650,7 @@ def j4_silence(s, d):
 def j8_cosines(s, d):
     e = table(s, d, "embeddings")
     ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
-    return e.join(ref, "label").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("ref")), 6).alias("similarity"))
+    return skew_join(e, ref, ["label"], "vec_id", "inner").select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("ref")), 6).alias("similarity"))
 
 
 @query("""WITH r AS (SELECT label, arg_min(embedding, vec_id) AS ref FROM embeddings GROUP BY label), p AS (SELECT vec_id, ref::DOUBLE[] AS a, embedding::DOUBLE[] AS b FROM embeddings JOIN r USING (label)),
@@ -660,7 +660,7 @@ def j8_cosines(s, d):
 def j10_si_sdr(s, d):
     e = table(s, d, "embeddings")
     ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"), F.min("vec_id").alias("first"))
-    return e.join(ref, "label").filter("vec_id <> first").select("vec_id", F.round(signal.si_sdr(F.col("ref"), F.col("embedding")), 4).alias("si_sdr"))
+    return skew_join(e, ref, ["label"], "vec_id", "inner").filter("vec_id <> first").select("vec_id", F.round(signal.si_sdr(F.col("ref"), F.col("embedding")), 4).alias("si_sdr"))
 
 
 @query("""SELECT vec_id, round(list_sum(list_transform(u, lambda v: v * v)), 6) AS size, round(u[1], 6) AS first FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda v: v / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS u FROM embeddings)""")
@@ -829,7 +829,7 @@ def j7_technical_quality(s, d):
 def j9_clipped_dots(s, d):
     e = table(s, d, "embeddings")
     ref = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("ref"))
-    return e.join(ref, "label").select("vec_id", F.round(vectors.clipped_dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("ref")), 0.0), 6).alias("similarity"))
+    return skew_join(e, ref, ["label"], "vec_id", "inner").select("vec_id", F.round(vectors.clipped_dot(vectors.unit(F.col("embedding")), vectors.unit(F.col("ref")), 0.0), 6).alias("similarity"))
 
 
 @query("SELECT vec_id, list_transform(range(0, 32), lambda i: round((embedding[i * 2 + 1]::DOUBLE + embedding[i * 2 + 2]::DOUBLE) / 2, 6) + 0.0::DOUBLE) AS mono FROM embeddings")
@@ -848,7 +848,7 @@ def k7_class_scores(s, d):
     return table(s, d, "lineitem").select("l_orderkey", "l_linenumber", score.alias("score"), rewards.top_label(listed).alias("top"), rewards.first_over(listed, 0.05).alias("first"))
 
 
-@query()
+@query("""SELECT l_orderkey, CASE WHEN l_discount >= l_tax THEN 'Joy' ELSE 'anger' END AS type, l_linenumber::DOUBLE AS start FROM lineitem WHERE greatest(l_discount, l_tax) >= 0.05::DOUBLE""")
 def e12_detected_events(s, d):
     """Lines of an order as windows with a score for each of two labels."""
     pair = lambda k, v: F.struct(F.lit(k).alias("label"), F.col(v).cast("double").alias("score"))
