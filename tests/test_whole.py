@@ -32,7 +32,7 @@ TEXTS = ["Hello, world!", "İSTANBUL'da ılık bir gün", "ΟΔΟΣ ς", "Große
 
 def test_transcripts_of_every_row(spark, tmp_path):
     d = save(spark, tmp_path, "manifest", list(enumerate(TEXTS)), "row_no long, text string")
-    got = {r.row_no: r.said for r in queries.queries()["h1_all_transcripts"](spark, d).collect()}
+    got = {r.row_no: r.said for r in queries.queries()["h1_transcripts"](spark, d).collect()}
     assert got == {k: None if t is None else said(t) for k, t in enumerate(TEXTS)}
 
 
@@ -54,8 +54,8 @@ def test_errors_and_durations_of_every_example(spark, tmp_path):
         a, b = said(a or "", True), said(b or "", True)
         return len(ids) / 32 / 12.5 * len(a) / len(b) if ids and a and b else -1.0
 
-    errors = {r.example_id: r.cer for r in queries.queries()["h3_all_character_errors"](spark, d).collect()}
-    spans = {r.example_id: r.seconds for r in queries.queries()["h16_all_reward_durations"](spark, d).collect()}
+    errors = {r.example_id: r.rate for r in queries.queries()["h3_character_errors"](spark, d).collect()}
+    spans = {r.example_id: r.seconds for r in queries.queries()["h16_reward_durations"](spark, d).collect()}
     assert len(errors) == len(spans) == len(rows)
     for k, a, b, t, ids in rows:
         assert errors[k] == (None if cer(a, b) is None else pytest.approx(cer(a, b), abs=1e-8)), (a, b)
@@ -65,7 +65,7 @@ def test_errors_and_durations_of_every_example(spark, tmp_path):
 def test_plain_quotes_of_every_request(spark, tmp_path):
     rows = [(1, "“Dr. Smith” —\n Prof.  Lee…"), (2, "MR. and mrs. X"), (3, "the shmr. stays"), (4, None), (5, " a　b ")]
     d = save(spark, tmp_path, "synthesis_request", rows, "request_id long, text string")
-    got = {r.request_id: r.plain for r in queries.queries()["h8_all_plain_quotes"](spark, d).collect()}
+    got = {r.request_id: r.plain for r in queries.queries()["h8_plain_quotes"](spark, d).collect()}
     assert got == {1: '"doctor Smith" - professor Lee...', 2: "mister and missus X", 3: "the shmr. stays", 4: None, 5: "a b"}
 
 
