@@ -187,6 +187,13 @@ def p8_found(s, d):
     return mixture.found(mixture.plan(sizes, table(s, d, "source_weight"))[0])
 
 
+def p8_supply(s, d):
+    """The plan in characters: what each source has, what is wanted of it, what it can give."""
+    sizes = table(s, d, "documents", "doc_id", "source", F.col("n_chars").alias("size"))
+    r = mixture.plan(sizes, table(s, d, "source_weight"))[0]
+    return r.select("source", "docs", "size", F.round("wanted", 4).alias("wanted"), F.round("given", 4).alias("given"), F.round("reached_bp", 4).alias("reached_bp"), F.round("runs_out_at", 6).alias("runs_out_at"), "short")
+
+
 def p8_mixture(s, d):
     return _mix(s, d, mixture.token_count(F.col("text")))[0]
 
@@ -219,7 +226,7 @@ def p9_clean(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p3_cells, p4_found, p4_places, p4_covered, p4_fill, p4_containers,
-        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p7_exact, p7_by_joins, p8_found, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
+        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p7_exact, p7_by_joins, p8_found, p8_supply, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
 
@@ -280,6 +287,10 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": p7,
         "p7_exact": p7,
         "p7_by_joins": p7,
+        "p8_supply": """WITH t AS (SELECT sum(n_chars) AS t FROM documents), d AS (SELECT source, count(*) AS docs, sum(n_chars) AS size FROM documents GROUP BY source),
+                        r AS (SELECT w.source, coalesce(docs, 0) AS docs, coalesce(size, 0) AS size, target_bp * t / 10000 AS wanted, coalesce(size, 0) * max_repeat AS supply FROM source_weight w LEFT JOIN d USING (source), t)
+                        SELECT source, docs, size, round(wanted, 4) AS wanted, round(least(wanted, supply), 4) AS given, round(10000 * least(wanted, supply) / (SELECT sum(least(wanted, supply)) FROM r), 4) AS reached_bp,
+                               round(CASE WHEN wanted > 0 THEN least(1, supply / wanted) ELSE 1 END, 6) AS runs_out_at, supply < wanted AS short FROM r""",
         "p8_found": """SELECT w.source FROM source_weight w LEFT JOIN (SELECT source, sum(n_chars) AS s FROM documents GROUP BY source) d USING (source)
                        WHERE coalesce(s, 0) * max_repeat * 10000 < target_bp * (SELECT sum(n_chars) FROM documents)""",
     }
