@@ -7,7 +7,6 @@ transforms, streams) there is none, and tests hold the operator against brute fo
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from voxloom.functions import frontend, rewards, signal, text, tokens, vectors
 from voxloom.functions.forms import language_code
 from voxloom.operators import audit, batching, datasets, measures, ranking, speech, verbs
 from voxloom.plans import protocols
-from voxloom.plans.scale import shared_dir, skew_join, written
+from voxloom.plans.scale import own_path, skew_join, written
 from voxloom.plans.settings import Encode
 from voxloom.sources import files
 from voxloom.sources.tables import table
@@ -768,7 +767,7 @@ def n0_event_rates(s, d):
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def n1_stream_ingest(s, d):
     """The events table through the file stream, batch by batch, and back."""
-    target = f"{shared_dir(s)}/voxloom-ingest-{uuid.uuid4().hex}"
+    target = own_path(s, "ingest")
     kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
     ingest.ingest(s, f"{d}/events.parquet*", target, kinds, lambda b: b.select("event_id", "user_id", "event_type", "value"), {"table": "events"}, 4)
     return s.read.schema("event_id long, user_id long, event_type string, value double").parquet(f"{target}/data/batch=*")
@@ -894,22 +893,17 @@ def r4_expressive(s, d):
 # round trips through sinks and sources
 
 
-def _out(s: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(s)}/voxloom-out-{uuid.uuid4().hex}/{name}"
-
-
 @query("SELECT id, audio, text, speaker, language, license FROM manifest")
 def a1_json_lines(s, d):
     """The manifest as JSON lines and back."""
-    path = _out(s, "manifest.jsonl")
+    path = own_path(s, "manifest.jsonl")
     files.write_jsonl(table(s, d, "manifest", "id", "audio", "text", "speaker", "language", "license"), path)
     return files.read_jsonl(s, path).drop("_file", "_line")
 
 
 @query("SELECT len(input_ids) AS n_ids, md5(array_to_string(input_ids, ',')) AS digest FROM expressive WHERE input_ids IS NOT NULL")
 def a7_token_shards(s, d):
-    path = _out(s, "tokens")
+    path = own_path(s, "tokens")
     files.write_tokens(table(s, d, "expressive", "input_ids").filter("input_ids is not null"), path)
     ids = s.read.schema("input_ids array<int>").parquet(path)
     return ids.select(F.size("input_ids").cast("long").alias("n_ids"), F.md5(F.array_join(F.col("input_ids").cast("array<string>"), ",")).alias("digest"))
@@ -917,7 +911,7 @@ def a7_token_shards(s, d):
 
 @query("SELECT row_no, id, text, emotion, audio_seconds, teacher_cer, hard_case, len(input_ids) AS n_ids FROM expressive")
 def a8_expressive_shards(s, d):
-    path = _out(s, "expressive")
+    path = own_path(s, "expressive")
     rows = table(s, d, "expressive", "row_no", "id", "text", "emotion", "audio_seconds", "teacher_cer", "hard_case", "input_ids")
     files.write_expressive(rows, path)
     return s.read.schema(rows.schema).parquet(path).withColumn("n_ids", F.size("input_ids").cast("long")).drop("input_ids")
@@ -926,7 +920,7 @@ def a8_expressive_shards(s, d):
 @query("SELECT emotion, count(*) AS n_rows, sum(example_id) AS ids FROM grpo_example WHERE hard_case AND emotion IS NOT NULL GROUP BY emotion")
 def a11_hard_case_store(s, d):
     """Hard cases in two appends, then counted in the store."""
-    path = _out(s, "hard.jsonl")
+    path = own_path(s, "hard.jsonl")
     g = table(s, d, "grpo_example", "example_id", "emotion", "hard_case").filter("hard_case and emotion is not null")
     for half in (0, 1):
         files.append_hard_cases(g.filter(F.col("example_id") % 2 == half), path)

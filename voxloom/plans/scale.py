@@ -69,13 +69,20 @@ def _forget_all() -> None:
         _forget(path)
 
 
+def own_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes at the end of a
+    :func:`scratch`, or at exit."""
+    folder = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}"
+    _live[folder] = spark
+    return f"{folder}/{name}"
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
     a lost executor costs nothing but a re-read. The table goes with :func:`free`, at
     the end of a :func:`scratch`, or at exit."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/voxloom-{uuid.uuid4().hex}/{name}"
-    _live[path.rpartition("/")[0]] = spark
+    path = own_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._voxloom_path = path.rpartition("/")[0]
