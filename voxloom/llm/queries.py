@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxloom.llm import components, contamination, dedup, languages, mixture, packing, residue, sampling, splitting
-from voxloom.plans.scale import shared_dir, written
+from voxloom.plans.scale import own_path, written
 from voxloom.sources.tables import table
 
 
@@ -17,20 +16,15 @@ def _keys(s: SparkSession, d: str) -> DataFrame:
     return components.example_keys(table(s, d, "grpo_example", "example_id", "clip_id", "reference_text"), table(s, d, "expressive", "id", "speaker"))
 
 
-def _table(s: SparkSession) -> str:
-    """A new component table in the shared folder."""
-    return f"{shared_dir(s)}/voxloom-components-{uuid.uuid4().hex}"
-
-
 def p1_found(s, d):
     """From the component table of one delivery, as it was persisted."""
-    path = _table(s)
+    path = own_path(s, "components")
     components.deliver(_keys(s, d), path)
     return components.found(components.members(components.stored(s, path)))
 
 
 def p1_splits(s, d):
-    return components.deliver(_keys(s, d), _table(s))
+    return components.deliver(_keys(s, d), own_path(s, "components"))
 
 
 def _two(s, d):
@@ -38,7 +32,7 @@ def _two(s, d):
     has no clip once more."""
     hard = table(s, d, "grpo_example", "example_id", F.coalesce("hard_case", F.lit(False)).alias("hard"), F.col("clip_id").isNull().alias("twice"))
     keys = written(_keys(s, d).join(hard, "example_id"), "deliveries")
-    path = _table(s)
+    path = own_path(s, "components")
     first = components.deliver(keys.filter("not hard").drop("hard", "twice"), path)
     second = components.deliver(keys.filter("hard or twice").drop("hard", "twice"), path)
     return path, keys, first.withColumn("delivery", F.lit(1)).unionByName(second.withColumn("delivery", F.lit(2)))
