@@ -12,6 +12,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import regex
@@ -133,6 +134,13 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     return _spans(text, limit, overlap)[0]
 
 
+@lru_cache
+def _long_run(limit: int) -> regex.Pattern:
+    """Runs of more than ``limit`` characters without white space and punctuation, looked for
+    where a run begins."""
+    return regex.compile(rf"(?<![^{_BLANK}\p{{P}}])[^{_BLANK}\p{{P}}]{{{limit + 1},}}+")
+
+
 def _spans(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, str]], _Tree | None]:
     if not text:
         return [], None
@@ -188,15 +196,12 @@ def _spans(text: str, limit: int, overlap: int) -> tuple[list[tuple[int, int, st
 
     got = opened(0, len(text), 0)
     got[-1] = (*got[-1][:2], "end")
-    marks = set(tree.between((_TEXT + len(_TEXT_LEVELS) - 1, 0), 0, len(text))) if tree.starts else set()
-    runs = [m.span() for m in regex.finditer(rf"[^{_BLANK}\p{{P}}]{{{limit + 1},}}", text)]
+    runs = [m.span() for m in _long_run(limit).finditer(text)]
     begins = [a for a, _ in runs]
 
     def named(e: int, kind: str) -> str:
         i = bisect_left(begins, e) - 1
-        if i >= 0 and e < runs[i][1]:
-            return "hard"
-        return "mark" if kind == "hard" and e in marks else kind
+        return "hard" if i >= 0 and e < runs[i][1] else kind
 
     return [(s, e, named(e, kind)) for s, e, kind in got], tree
 
