@@ -150,8 +150,8 @@ _THING = re.compile(
     r"|\b(?:página|sitio|servidor|archivo|fichero|enlace|documento|contenido|solicitud|petición|conexión|sesión|cuenta|grabación|reproductor|navegador|servicio|aplicación|acceso|url)\b"
     r"|\b(?:página|site|sítio|servidor|arquivo|ficheiro|endereço|ligação|documento|conteúdo|pedido|solicitação|conexão|sessão|conta|gravação|leitor|navegador|serviço|aplicação|acesso)\b"
     r"|\b(?:web)?(?:pagina|site|server|bestand|adres|document|inhoud|verzoek|aanvraag|verbinding|sessie|account|opname|speler|browser|dienst|toepassing|toegang)\b"
-    r"|\b(?:web )?(?:sayfa|site|sunucu|dosya|adres|bağlantı|belge|içerik|içeri[ğk]|iste[kğ]|oturum|hesap|hesab|kayı[td]|oynatıcı|tarayıcı|hizmet|uygulama|erişim)\w*"
-    r"|\b(?:веб-)?(?:страниц|сайт|сервер|файл|адрес|ссылк|документ|содержим|контент|запрос|соединени|подключени|связ[ьи]|сесси|сеанс|аккаунт|уч[её]тн|запис|плеер|браузер|служб|сервис|приложени|доступ)\w*"
+    r"|\b(?:web )?(?:sayfa|site|sunucu|dosya|adres|bağlantı|belge|içerik|içeri[ğk]|istek|(?:isteğ)|oturum|hesap|hesab|kayı[td]|oynatıcı|tarayıcı|hizmet|uygulama|erişim)\w*"
+    r"|\b(?:веб-)?(?:страниц|сайт|сервер|файл|адрес|ссылк|документ|содержим|контент|запрос|соединени|подключени|связ[ьи]|сесси|сеанс|аккаунт|учетн|(?:учётн)|запис|плеер|браузер|служб|сервис|приложени|доступ)\w*"
     r"|\b(?:what you(?:['’]re| are) looking for|was sie suchen|ce que vous cherchez|lo que busca\w*|o que procura|wat (?:u|je) zoekt|aradığınız|вы ищете)\b"
     r"|ページ|サイト|サーバー?|ファイル|URL|リンク|コンテンツ|リクエスト|接続|通信|セッション|アカウント|録音|プレーヤー|ブラウザ|サービス|アプリ|アクセス",
     _I,
@@ -159,12 +159,12 @@ _THING = re.compile(
 _FAILS = re.compile(
     r"\b(?:not (?:be )?(?:found|reached|loaded|opened|displayed|played|completed|processed|available|authori[sz]ed|allowed|permitted|responding)|(?:can'?t|cannot|can not|could ?n[o']t|couldn['’]t|unable to|failed to) (?:seem to )?(?:be )?(?:find|found|reach|reached|load|loaded|open|opened|display|displayed|play|played|connect|complete|completed|process|processed|establish|established|access|accessed)|unavailable|unreachable|no longer (?:available|exists?|here|valid|supported)|do(?:es)? ?n[o']t exist|(?:has|have) (?:been )?(?:expired|moved|removed|deleted|ended|timed out)|timed out|(?:access|permission|connection|request) (?:is |was |has been )?(?:denied|refused|rejected|blocked)|went wrong|overloaded|too many requests|internal (?:server )?error|under maintenance|offline)\b"
     r"|\b(?:nicht (?:mehr |länger |möglich |)(?:gefunden|finden|geladen|laden|geöffnet|erreichbar|erreicht|verfügbar|vorhanden|abgespielt|angezeigt|antwortet|verarbeitet|möglich|autorisiert|berechtigt|gestattet)|existiert nicht|gibt es nicht|(?:ist|wurde) (?:abgelaufen|gelöscht|entfernt|verschoben|unterbrochen|verweigert|abgelehnt|überlastet)|abgelaufen|verweigert|fehlgeschlagen|schiefgelaufen|schiefgegangen|fehler aufgetreten|wartungsarbeiten)\b"
-    r"|\b(?:introuvable|indisponible|inaccessible|injoignable|n['’](?:existe|est) (?:pas|plus)|n['’](?:a|ont) pas (?:pu|été)|a expiré|est expirée?|a été (?:supprimée?|déplacée?|refusée?|interrompue?)|refusée?|interdite?|a échoué|ne répond (?:pas|plus)|est survenue?|s['’]est produite?|surchargé|en maintenance|impossible d)"
+    r"|\b(?:introuvable|indisponible|inaccessible|injoignable|n['’](?:existe|est)(?: pas|(?: plus))|n['’](?:a|ont) pas (?:pu|été)|a expiré|est expirée?|a été (?:supprimée?|déplacée?|refusée?|interrompue?)|refusée?|interdite?|a échoué|ne répond (?:pas|plus)|est survenue?|s['’]est produite?|surchargé|en maintenance|impossible d)"
     r"|\b(?:no (?:se |le |lo |la )?(?:ha |han |pudo |puede |pudimos |podemos |hemos podido |ha podido )?(?:encontr\w+|cargar\w*|carga\w*|abrir\w*|existe\w*|disponible|responde|reproduc\w+|conectar\w*|acceder|encuentra\w*|está disponible|está autorizado)|ha (?:caducado|expirado|fallado|sido (?:eliminad[oa]|movid[oa]|denegad[oa]|rechazad[oa]))|denegad[oa]|rechazad[oa]|se ha producido|salió mal|ha ido mal|sobrecargado|en mantenimiento|demasiad[oa]s (?:solicitudes|peticiones))\b"
     r"|\b(?:não (?:foi |foram |pôde ser |pode ser |conseguimos |é possível |está |se encontra )?(?:encontrad[oa]|encontrar|carregad[oa]|carregar|abert[oa]|abrir|existe|disponível|responde|possível|ligar|conectar|autorizad[oa])|expirou|terminou|foi (?:removid[oa]|movid[oa]|negad[oa]|recusad[oa]|eliminad[oa])|negad[oa]|recusad[oa]|indisponível|inacessível|ocorreu um|correu mal|deu errado|sobrecarregado|em manutenção|demasiados pedidos|muitas solicitações)\b"
     r"|\b(?:(?:reageert|werkt) (?:\w+ )?niet|niet (?:meer |langer |worden |)(?:gevonden|vinden|geladen|laden|bereikbaar|bereikt|beschikbaar|geopend|afgespeeld|weergegeven|gemachtigd|toegestaan|mogelijk|reageert)|bestaat niet|(?:is|was|werd) (?:verlopen|verwijderd|verplaatst|geweigerd|verbroken|overbelast)|verlopen|geweigerd|misgegaan|fout opgetreden|onderhoud|mislukt)\b"
     r"|(?:bulunama\w+|bulunmuyor|yüklenem\w+|açılam\w+|ulaşılam\w+|erişilem\w+|oynatılam\w+|görüntülenem\w+|kullanılam\w+|mevcut değil|yanıt vermiyor|sona erdi|doldu\b|süresi dol\w+|reddedildi|engellendi|kaldırıl\w+|silin\w+|taşın\w+|(?:hata|sorun) oluştu|başarısız|ters gitti|bakımda|kesildi)"
-    r"|(?:не (?:был[аои]? |)(?:найден\w*|удалось|уда[её]тся|существует|отвечает|доступ\w*|загру\w+|открыва\w+|можем|может быть)|недоступ\w+|ист[её]к\w*|запрещ\w+|отклон\w+|удал[её]н\w*|перемещ[её]н\w*|прерван\w*|произошл\w+ (?:\w+ )?(?:ошибка|сбой)|перегружен\w*|обслуживани\w+|заверш[её]н\w*)"
+    r"|(?:не (?:был[аои]? |)(?:найден\w*|удалось|удается|(?:удаётся)|существует|отвечает|доступ\w*|загру\w+|открыва\w+|можем|может быть)|недоступ\w+|(?:истек|(?:истёк))\w*|запрещ\w+|отклон\w+|удал[её]н\w*|перемещ[её]н\w*|прерван\w*|произошл\w+ (?:\w+ )?(?:ошибка|сбой)|перегружен\w*|обслуживани\w+|заверш[её]н\w*)"
     r"|(?:見つかりません|見つかりませんでした|存在しません|読み込めません|開けません|再生できません|表示できません|接続できません|利用できません|ご利用いただけません|応答がありません|応答しません|拒否されました|切れました|切れています|期限切れ|失敗しました|発生しました|許可されていません|メンテナンス中|移動または削除|削除され)",
     _I,
 )
