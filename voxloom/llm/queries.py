@@ -166,12 +166,6 @@ def p7_exact(s, d):
     return contamination.found(_leaks(s, d))
 
 
-def p7_by_joins(s, d):
-    """As p7_found, by the joins that a suite of more than one block takes."""
-    leaked = contamination.leaks(table(s, d, "documents", "doc_id", "text"), table(s, d, "eval_item", "item_id", "text"), near=False, block_chars=1)
-    return contamination.found(leaked)
-
-
 def _mix(s, d, size, schedules=None):
     return mixture.mix(table(s, d, "documents", "doc_id", "source", "text", "n_chars"), table(s, d, "source_weight"), size, schedules)
 
@@ -220,7 +214,7 @@ def p9_clean(s, d):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         p1_found, p1_splits, p1_incremental, p1_closed, p1_together, p1_shares, p2_found, p2_segments, p3_found, p3_sample, p3_report, p3_cells, p4_found, p4_places, p4_covered, p4_fill, p4_containers,
-        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p7_exact, p7_by_joins, p8_found, p8_supply, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
+        p5_found, p5_pieces, p5_rebuilt, p6_found, p6_collapsed, p6_copies, p7_found, p7_leaks, p7_exact, p8_found, p8_supply, p8_mixture, p8_curriculum, p8_report, p9_found, p9_marked, p9_clean,
     )}
 
 
@@ -280,7 +274,6 @@ def oracle_sql() -> dict[str, str]:
         "p6_copies": p6 + " SELECT keep_no AS row_no, count(*) AS n_copies FROM k GROUP BY keep_no UNION ALL SELECT row_no, 1 FROM manifest WHERE row_no NOT IN (SELECT row_no FROM k)",
         "p7_found": p7,
         "p7_exact": p7,
-        "p7_by_joins": p7,
         "p8_supply": """WITH t AS (SELECT sum(n_chars) AS t FROM documents), d AS (SELECT source, count(*) AS docs, sum(n_chars) AS size FROM documents GROUP BY source),
                         r AS (SELECT w.source, coalesce(docs, 0) AS docs, coalesce(size, 0) AS size, target_bp * t / 10000 AS wanted, coalesce(size, 0) * max_repeat AS supply FROM source_weight w LEFT JOIN d USING (source), t)
                         SELECT source, docs, size, round(wanted, 4) AS wanted, round(least(wanted, supply), 4) AS given, round(10000 * least(wanted, supply) / (SELECT sum(least(wanted, supply)) FROM r), 4) AS reached_bp,
