@@ -76,6 +76,14 @@ def test_detected_events(spark, tmp_path):
     assert got[:2] == [(1, 1.0, "Joy"), (1, 2.0, "anger")] and [r[:2] for r in got[2:]] == [(3, 1.0)]
 
 
+def test_equal_prefix_is_never_broadcast(spark, tmp_path):
+    ids = {1: [1, 2, 3], 2: [1, 2, 4, 5], 3: [1, 2], 4: [], 5: None, 6: [7], 8: [7], 9: [8, None], 10: [8, None, 9], 11: list(range(30_000)), 12: [*range(29_999), 0]}
+    d = save(spark, tmp_path, "expressive", [*ids.items(), (12, [0])], "row_no long, input_ids array<int>")
+    df = queries.queries()["e15_equal_prefix"](spark, d)
+    assert sorted(map(tuple, df.collect())) == [(2, 2), (3, 2), (4, 0), (9, 0), (10, 2), (11, 0), (12, 1), (12, 29_999)]
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_labels_components_and_lexicon(spark, tmp_path):
     df = spark.createDataFrame([("en_GB", "JOY", 0.5, True), ("xx", "fear", None, True), (None, None, 0.5, False)], "l string, e string, v double, ok boolean")
     got = df.select(text.language_name(F.col("l")), text.mapped_label(F.col("e"), {"Joy": "glad"}), rewards.component_or_invalid(F.col("v"), F.col("ok"))).collect()

@@ -416,7 +416,8 @@ def e14_expected_times(s, d):
 def e15_equal_prefix(s, d):
     e = table(s, d, "expressive", "row_no", F.col("input_ids").alias("a"))
     prev = table(s, d, "expressive", (F.col("row_no") + 1).alias("row_no"), F.col("input_ids").alias("b"))
-    return e.join(prev, "row_no").filter("a is not null and b is not null").select("row_no", tokens.equal_prefix(F.col("a"), F.col("b")).alias("shared"))
+    # Spark takes an array for 4 bytes in its estimates, and would broadcast some hundred MB of ids as a few MB
+    return e.join(prev.hint("merge"), "row_no").filter("a is not null and b is not null").select("row_no", tokens.equal_prefix(F.col("a"), F.col("b")).alias("shared"))
 
 
 # F, G: order, limits, sets
